@@ -28,42 +28,57 @@ END_ID = 2
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns (lengths in one sequence, longest first) and how many sequences have each."""
+    """Patterns (lengths in one sequence, longest first) and how many sequences have each.
+
+    Exact combinations of short lengths can use up what would have filled the gaps of
+    long ones, so the index is tried for combinations that hold a length of at least
+    some share of the capacity, for a few shares; the plan with the fewest sequences wins.
+    """
+    tries = [_plan(counts, capacity, pair, triple) for pair, triple in ((0, 0), (0, capacity // 3), (0, capacity // 2), (capacity // 2, capacity * 2 // 3), (capacity // 2, capacity))]
+    return min(tries, key=lambda patterns: sum(times for _, times in patterns))
+
+
+def _plan(counts: dict[int, int], capacity: int, pair_from: int, triple_from: int) -> list[tuple[tuple[int, ...], int]]:
     have = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
         have[length] += n
+    if have[0]:
+        raise ValueError("a piece has at least one token")
     out: list[tuple[tuple[int, ...], int]] = []
 
-    def take(lengths: tuple[int, ...]) -> bool:
+    def take(lengths: tuple[int, ...]):
+        """Consume a combination as often as the counts allow."""
         need = np.bincount(lengths, minlength=capacity + 1)
         used = np.flatnonzero(need)
         times = int((have[used] // need[used]).min())
         if times:
             have[used] -= times * need[used]
             out.append((lengths, times))
-        return times > 0
 
-    if have[0]:
-        raise ValueError("a piece has at least one token")
     take((capacity,))
-    for longest in range(capacity - 1, 0, -1):  # a pair's index is the complement itself
-        if have[longest] and have[capacity - longest]:
-            take(tuple(sorted((longest, capacity - longest), reverse=True)))
-    for longest in range(capacity - 2, 0, -1):  # triples: two that fill the gap, found by complement
+    for longest in range(capacity - 1, 0, -1):
+        if not have[longest]:
+            continue
         gap = capacity - longest
-        second = min(longest, gap - 1)
-        while have[longest] and 2 * second >= gap:
-            if have[second] and have[gap - second]:
-                take((longest, second, gap - second))
-            second -= 1
-    # best fit for the rest: the longest open length first, each gap filled by the longest length that fits
+        if longest >= pair_from and gap <= longest and have[gap]:  # the single that fills the gap
+            take((longest, gap))
+        if longest >= triple_from and have[longest]:  # pairs whose sum fills it, from equal to far apart
+            second = np.arange(min(longest, gap - 1), (gap - 1) // 2, -1)
+            for k in second[(have[second] > 0) & (have[gap - second] > 0)].tolist():
+                take((longest, k, gap - k))
+                if not have[longest]:
+                    break
+        while have[longest] and longest >= pair_from:  # best fit: each gap takes the longest length that fits
+            lengths, left, room = [longest], have.copy(), gap
+            left[longest] -= 1
+            while room and len(fits := np.flatnonzero(left[: room + 1])):
+                lengths.append(int(fits[-1]))
+                left[fits[-1]] -= 1
+                room -= int(fits[-1])
+            take(tuple(lengths))
     while have.any():
-        lengths: list[int] = []
-        left, room = have.copy(), capacity
-        while room:
-            fits = np.flatnonzero(left[: room + 1])
-            if not len(fits):
-                break
+        lengths, left, room = [], have.copy(), capacity
+        while room and len(fits := np.flatnonzero(left[: room + 1])):
             lengths.append(int(fits[-1]))
             left[fits[-1]] -= 1
             room -= int(fits[-1])
