@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from tidemark.queries import relations, values
+
+_ALL: dict[str, tuple[Callable, str | None]] = {**relations.QUERIES, **values.QUERIES}
+
+
+def queries() -> dict[str, Callable]:
+    return {name: fn for name, (fn, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}
