@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import U64, bytes_of, map_batches, prefix_hashes, span_hash, text_slices, written
+from tidemark.llm.common import U64, bytes_of, free_name, map_batches, prefix_hashes, span_hash, text_slices, written
 
 THRESHOLD = 400
 GRAM = 128
@@ -270,15 +270,16 @@ def remove_repeated(docs: DataFrame, text: str = "text", key: str = "doc_id", **
     nothing stays as it is (null stays null); rows are never dropped.
     """
     _, changes = repeated_spans(docs, text, key, **options)
-    changes = written(changes.select(F.col("node").alias("n__"), F.col("rest").alias("r__")), "suffix-changes")
+    node, rest = free_name(docs, "n__"), free_name(docs, "r__")
+    changes = written(changes.select(F.col("node").alias(node), F.col("rest").alias(rest)), "suffix-changes")
 
     def decode(batch: pa.RecordBatch) -> pa.RecordBatch:
         kept = [b.decode("utf-8", "ignore") for b in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string())], names=["n__", "r__"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string())], names=[node, rest])
 
-    changes = map_batches(changes, decode, "n__ binary, r__ string")
-    joined = docs.join(changes, F.unhex(F.sha2(F.col(f"`{text}`").cast("binary"), 256)) == F.col("n__"), "left")
-    return joined.select(*[F.when(F.col("n__").isNull(), F.col(f"`{c}`")).otherwise(F.col("r__")).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    changes = map_batches(changes, decode, f"{node} binary, {rest} string")
+    joined = docs.join(changes, F.unhex(F.sha2(F.col(f"`{text}`").cast("binary"), 256)) == F.col(node), "left")
+    return joined.select(*[F.when(F.col(node).isNull(), F.col(f"`{c}`")).otherwise(F.col(rest)).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10_suffix_dedup(docs: DataFrame) -> DataFrame:
