@@ -199,7 +199,7 @@ def compare_with_next(docs: DataFrame, text: str = "text", key: str = "doc_id")
     tagged = placed.join(guest, is_first, "left")
     tagged = tagged.withColumn("to", F.when(F.col("s") == F.sha2("t", 256), F.array(F.struct(F.col("part").alias("part"), F.lit(0).alias("guest")), F.struct(F.col("before").alias("part"), F.lit(1).alias("guest")))).otherwise(F.array(F.struct(F.col("part").alias("part"), F.lit(0).alias("guest")))))
     dealt = tagged.select("key", "t", F.explode("to").alias("to")).select("key", "t", "to.part", "to.guest")
-    ordered = dealt.repartition(parts, "part").sortWithinPartitions("part", "guest", F.asc_nulls_first("key"), F.sha2("t", 256))
+    ordered = dealt.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "guest", F.asc_nulls_first("key"), F.sha2("t", 256))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # (part, key, text, chain) that waits for its next
