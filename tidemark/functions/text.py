@@ -119,8 +119,8 @@ def too_long(c: Column, limit: int = MAX_OUTPUT) -> Column:
 
 
 def casefold(c: Column) -> Column:
-    """Lower case of the upper case: what differs in case only becomes equal."""
-    return F.lower(F.upper(c))
+    """Lower case with final sigma and sharp s written out: what differs in case only becomes equal."""
+    return F.replace(F.translate(F.lower(c), "ς", "σ"), F.lit("ß"), F.lit("ss"))
 
 
 def normalized(c: Column, strip: bool = True, squeeze: bool = False, fold: bool = False, blank_null: bool = True) -> Column:
@@ -131,20 +131,11 @@ def normalized(c: Column, strip: bool = True, squeeze: bool = False, fold: bool
     return empty_as_null(out) if blank_null else out
 
 
-def _nfkc(values):
-    import unicodedata
-
-    return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
-
-
 def nfkc(c: Column) -> Column:
-    """Compatibility composition.  ASCII is unchanged and stays in the JVM; other text takes a vectorised UDF."""
-    import pandas as pd
-
-    @F.pandas_udf("string")
-    def composed(values: pd.Series) -> pd.Series:
-        return _nfkc(values)
+    """Compatibility composition.  ASCII is unchanged and stays in the JVM; other text takes a UDF over Arrow."""
+    import unicodedata
 
+    composed = F.udf(lambda v: None if v is None else unicodedata.normalize("NFKC", v), "string", useArrow=True)
     return F.when(c.rlike(r"[^\x00-\x7F]"), composed(c)).otherwise(c)
 
 
