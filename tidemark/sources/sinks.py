@@ -37,3 +37,41 @@ def write_batches(intents: DataFrame, send, size: int = 100) -> None:
             send(batch)
 
     intents.foreachPartition(run)
+
+
+def write_workbook(path: str, sheets: dict[str, DataFrame], max_rows: int = 100_000) -> None:
+    """One spreadsheet file with a sheet per result, for people: text cells, header first, at most ``max_rows`` rows a sheet.
+
+    A result with more rows is refused, not cut; it belongs in a table or CSV.
+    """
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    link = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    kind = "application/vnd.openxmlformats-officedocument.spreadsheetml"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        parts = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="{kind}.worksheet+xml"/>' for i in range(1, len(sheets) + 1))
+        z.writestr("[Content_Types].xml", f'<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/>{parts}</Types>')
+        z.writestr("_rels/.rels", f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="{link}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{link}"><sheets>' + "".join(f'<sheet name="{escape(n[:31])}" sheetId="{i}" r:id="r{i}"/>' for i, n in enumerate(sheets, 1)) + "</sheets></workbook>")
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(f'<Relationship Id="r{i}" Type="{link}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(sheets) + 1)) + "</Relationships>")
+        for i, df in enumerate(sheets.values(), 1):
+            if df.limit(max_rows + 1).count() > max_rows:
+                raise ValueError(f"more than {max_rows} rows")
+            shown = df.select(*[formula_safe(F.col(f"`{c}`").cast("string")).alias(c) for c in df.columns])
+            with z.open(f"xl/worksheets/sheet{i}.xml", "w") as f:
+                f.write(f'<worksheet xmlns="{main}"><sheetData>'.encode())
+                for number, row in enumerate([tuple(df.columns), *map(tuple, shown.collect())], 1):
+                    cells = "".join("" if v is None else f'<c r="{_letters(k)}{number}" t="inlineStr"><is><t xml:space="preserve">{escape(v)}</t></is></c>' for k, v in enumerate(row))
+                    f.write(f'<row r="{number}">{cells}</row>'.encode())
+                f.write(b"</sheetData></worksheet>")
+
+
+def _letters(k: int) -> str:
+    out = ""
+    k += 1
+    while k:
+        k, r = divmod(k - 1, 26)
+        out = chr(65 + r) + out
+    return out
