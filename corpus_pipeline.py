@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import free_name, written
 from tidemark.llm.lang_id import identify, train
 from tidemark.llm.near_dup import near_dups
 from tidemark.llm.packing import pack, pieces
@@ -24,21 +24,23 @@ MIN_LANGUAGE_SCORE = 0.5
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep; bands are fitted on labelled rows of this stage's input."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality_rules(docs, fit_bands(docs, labels), keep=docs.columns).filter("kept").select(docs.columns)
+    return quality_rules(docs, fit_bands(docs, labels)).filter("kept").select(docs.columns)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a recognised language."""
-    found = identify(docs, train(docs), out=("lang_pred__", "score__"))
-    return found.filter((F.col("lang_pred__") != "und") & (F.col("score__") >= MIN_LANGUAGE_SCORE)).select(docs.columns)
+    named, score = free_name(docs, "lang_pred__"), free_name(docs, "score__")
+    found = identify(docs, train(docs), out=(named, score))
+    return found.filter((F.col(named) != "und") & (F.col(score) >= MIN_LANGUAGE_SCORE)).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the least doc_id; of repeated rows, one."""
     found = near_dups(docs)
-    kept = found.filter(F.col("key").eqNullSafe(F.col("component"))).select(F.col("key").alias("k__")).distinct()
+    own = free_name(docs, "k__")
+    kept = found.filter(F.col("key").eqNullSafe(F.col("component"))).select(F.col("key").alias(own)).distinct()
     kept = written(kept, "pipeline-kept")
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("k__")), "left_semi").select(docs.columns)
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(own)), "left_semi").select(docs.columns)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ ROWS = [
     (None, "no key", "fr", "j"),
     (9, "x" * 5000, "es", "k"),
 ]
-CLASHING = ["t", "key", "node", "t__", "v__", "n_tokens", "ids", "score", "kept", "rank", "part", "h", "b", "e", "n__", "r__", "band__", "length"]
+CLASHING = ["t", "key", "node", "t__", "v__", "n_tokens", "ids", "score", "kept", "rank", "part", "h", "b", "e", "n__", "r__", "band__", "length", "n_words", "script", "reason", "lang_pred", "decoded"]
 
 
 @pytest.fixture(scope="module")

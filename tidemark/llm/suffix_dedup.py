@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import U64, bytes_of, free_name, map_batches, prefix_hashes, span_hash, text_slices, written
+from tidemark.llm.common import U64, bytes_of, free_name, map_batches, mix, prefix_hashes, span_hash, text_slices, written
 
 THRESHOLD = 400
 GRAM = 128
@@ -201,6 +201,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", thr
         table = pa.Table.from_batches(rows)
         owner, lo, inside = (table.column(c).to_numpy().astype(np.int64) for c in ("own", "lo", "inside"))
         hashes, real = window_hashes(table.column("context").to_pylist(), inside, threshold, gram)
+        hashes ^= mix(table.column("gram").to_numpy().view(U64))[:, None]  # equal windows have equal grams: more bits to tell others apart
         for k in range(hashes.shape[1]):
             found = np.flatnonzero(real[:, k])
             real[found, k] = repeated_rows(hashes[found, k], owner[found])
@@ -217,17 +218,18 @@ def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", thr
     spark = docs.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), members // 16_000)
     cool = around.filter("not hot").select("node", "gram", "lo", "inside", "context", F.xxhash64("node", "place").alias("own")).repartition(tasks, "gram")
-    spans = cool.drop("gram").mapInArrow(order, "node binary, b int, e int")
+    spans = cool.mapInArrow(order, "node binary, b int, e int")
 
     def explode_windows(batch: pa.RecordBatch) -> pa.RecordBatch:
         lo, inside = (batch.column(c).to_numpy().astype(np.int64) for c in ("lo", "inside"))
         hashes, real = window_hashes(batch.column("context").to_pylist(), inside, threshold, gram)
+        hashes ^= mix(batch.column("gram").to_numpy().view(U64))[:, None]
         at, k = np.nonzero(real)
         begin = lo[at] + inside[at] - k
         return pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(at)), pa.array(hashes[at, k].view(np.int64)), pa.array(begin.astype(np.int32))], names=["node", "h", "b"])
 
     if not classes.filter("hot").isEmpty():
-        warm = written(map_batches(around.filter("hot").select("node", "lo", "inside", "context"), explode_windows, "node binary, h long, b int"), "suffix-hot")
+        warm = written(map_batches(around.filter("hot").select("node", "gram", "lo", "inside", "context"), explode_windows, "node binary, h long, b int"), "suffix-hot")
         own = F.xxhash64("node", "b")
         twice = written(warm.groupBy("h").agg(F.min(own).alias("lo"), F.max(own).alias("hi")).filter("lo <> hi").select("h"), "suffix-hot-twice")
         spans = spans.union(warm.join(twice, "h").select("node", "b", (F.col("b") + threshold).alias("e")))
