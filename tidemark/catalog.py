@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tidemark.queries import extra, relations, values
+from tidemark.queries import extra, relations, scans, values
 
-_ALL: dict[str, tuple[Callable, str | None]] = {**relations.QUERIES, **values.QUERIES, **extra.QUERIES}
+_ALL: dict[str, tuple[Callable, str | None]] = {**relations.QUERIES, **values.QUERIES, **extra.QUERIES, **scans.QUERIES}
 
 
 def queries() -> dict[str, Callable]:

@@ -15,7 +15,7 @@ def write_json(df: DataFrame, path: str) -> None:
 def write_csv(df: DataFrame, path: str, safe: bool = True) -> None:
     """CSV with a header; cells that a spreadsheet would run get an apostrophe."""
     cells = [F.col(f"`{c}`").cast("string") for c in df.columns]
-    df.select(*[(formula_safe(x) if safe else x).alias(c) for c, x in zip(df.columns, cells, strict=True)]).write.option("header", True).option("quoteAll", True).csv(path)
+    df.select(*[(formula_safe(x) if safe else x).alias(c) for c, x in zip(df.columns, cells, strict=True)]).write.option("header", True).option("quoteAll", True).option("escape", "\"").csv(path)
 
 
 def write_prepared(df: DataFrame, path: str) -> None:
