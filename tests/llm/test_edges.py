@@ -166,3 +166,10 @@ def test_every_query_runs_on_empty_tables(spark, sf_dir, tmp_path):
         spark.read.parquet(f"{sf_dir}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
     for name, query in entry.queries().items():
         assert query(spark, str(tmp_path)).count() == 0, name
+
+
+def test_work_tables_can_be_dropped(spark):
+    kept = common.written(spark.range(3), "test-drop")
+    assert kept.count() == 3 and common.drop_work_tables(spark) >= 1
+    with pytest.raises(Exception, match="(?i)not.*exist|no such"):
+        kept.count()

@@ -48,8 +48,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_made: list[str] = []
+
+
 def work_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def drop_work_tables(spark: SparkSession) -> int:
+    """Delete the tables and shards that this driver wrote on the way; call it when results are stored elsewhere."""
+    n = len(_made)
+    for path in _made:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    _made.clear()
+    return n
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
