@@ -24,7 +24,10 @@ MIN_LANGUAGE_SCORE = 0.5
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep; bands are fitted on labelled rows of this stage's input."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality_rules(docs, fit_bands(docs, labels)).filter("kept").select(docs.columns)
+    # extra columns keep their values, whatever they are called
+    apart = {c: f"c{i}__" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text", "lang")}
+    judged = quality_rules(docs.withColumnsRenamed(apart), fit_bands(docs, labels)).filter("kept")
+    return judged.withColumns({c: F.col(a) for c, a in apart.items()}).select(docs.columns)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -68,3 +68,19 @@ def test_stages_return_the_columns(spark, sf_dir):
     assert [len(s) for s in corpus_pipeline.STAGES] == [2] * 5
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, sf_dir).columns == docs.columns
+
+
+def test_stages_take_what_comes(spark, sf_dir):
+    rows = [(None, None, None, None, None), (1, None, "en", "a", 0), (2, "", None, "b", None), (3, "one two three " * 40, "en", "c", 5), (4, "the word is not the same as the other word in this text of many words and the rest of it goes on for a while until there are more than fifty different words in it so that nobody can say it was short or that it repeats itself over and over again like bad pages on the web do", "en", "d", 9)]
+    rows += [(*rows[-1][:3], "e", 9), (6, rows[-1][1] + " end", "en", "f", 9)]
+    docs = spark.createDataFrame([(*r, "k", "r") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, kept string, reason string")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns
+        assert {(r.kept, r.reason) for r in out.collect()} == {("k", "r")}
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0
+    assert sorted(r.doc_id for r in corpus_pipeline.quality(spark, docs, sf_dir).collect()) == [4, 4, 6]
+    assert sorted(r.doc_id for r in corpus_pipeline.language(spark, docs, sf_dir).collect()) == [3, 4, 4, 6]
+    assert sorted(r.doc_id or 0 for r in corpus_pipeline.near_dedup(spark, docs, sf_dir).collect()) == [0, 1, 2, 3, 4, 4]
+    assert corpus_pipeline.suffix_dedup(spark, docs, sf_dir).count() == len(rows)
+    assert corpus_pipeline.packing(spark, docs, sf_dir).filter("piece = 0").count() == len(rows)

@@ -106,6 +106,8 @@ def window_hashes(contexts: list[bytes], inside: np.ndarray, threshold: int, gra
 
 def repeated_rows(hashes: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """Which rows have a hash that another owner has too."""
+    if not len(hashes):
+        return np.zeros(0, bool)
     order = np.argsort(hashes, kind="stable")
     h, o = hashes[order], owner[order]
     first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
