@@ -169,6 +169,40 @@ def span_hash(prefix: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((prefix[end] - prefix[begin]) * down[begin] + (end - begin).astype(U64))
 
 
+# ---------------------------------------------------------------- semi-join reduction
+
+BITMAP_BITS = 1 << 26
+
+
+class KeyBitmap:
+    """Which hashes may be among some keys: a bitmap of fixed size (8 MB), whatever the number of keys.
+
+    It never misses a key; it lets some others through, more of them the more keys there
+    are.  So it is only put before an exact join, to keep rows out of its shuffle.
+    """
+
+    def __init__(self, keys: DataFrame, column: str, bits: int = BITMAP_BITS):
+        self.mask = bits - 1
+        words = keys.selectExpr(f"cast(shiftright(`{column}` & {self.mask}L, 6) as int) AS w", f"shiftleft(1L, cast(`{column}` & 63L as int)) AS b")
+        found = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()  # at most bits / 64 rows
+        bitmap = np.zeros(bits // 64, U64)
+        bitmap[found.column("w").to_numpy()] = found.column("b").to_numpy().view(U64)
+        self.shared = keys.sparkSession.sparkContext.broadcast(bitmap)
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        at = hashes.view(U64) & U64(self.mask)
+        return (self.shared.value[(at >> U64(6)).astype(np.int64)] >> (at & U64(63))) & U64(1) == 1
+
+
+def filter_lists(lists: pa.ListArray, keep: np.ndarray, *others: pa.ListArray) -> list[pa.ListArray]:
+    """List columns of one shape without the items that ``keep`` (over all items) leaves out."""
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    total = np.r_[0, np.cumsum(keep)]
+    base = offsets[0]
+    new = pa.array((total[offsets - base]).astype(np.int32))
+    return [pa.ListArray.from_arrays(new, x.flatten().filter(pa.array(keep))) for x in (lists, *others)]
+
+
 # ---------------------------------------------------------------- connected components
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import U64, bytes_of, connected_components, map_batches, mix, prefix_hashes, span_hash, text_slices, written
+from tidemark.llm.common import U64, KeyBitmap, bytes_of, connected_components, filter_lists, map_batches, mix, prefix_hashes, span_hash, text_slices, written
 
 BANDS, ROWS = 30, 6
 MANTISSA = 10
@@ -172,30 +172,39 @@ def near_dups(docs: DataFrame, text: str = "text", key: str = "doc_id", percent:
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["key", "n_shingles", "node", "bands"])
 
     rows = written(map_batches(source, sketch, f"key {kind}, n_shingles long, node binary, bands array<long>"), "near-sketches")
-    nodes = written(rows.filter("node is not null").groupBy("node").agg(F.min("key").alias("key"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands")), "near-nodes")
-    banded = nodes.select("node", F.explode("bands").alias("band"))
-    own = F.xxhash64("node")
-    stars = banded.groupBy("band").agg(F.min("node").alias("a"), F.min(own).alias("lo"), F.max(own).alias("hi")).filter("lo <> hi")
+    nodes = rows.filter("node is not null").groupBy("node").agg(F.min("key").alias("key"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    # groups of candidates go by a 64-bit name of the node; two nodes of one name are only looked at together
+    nodes = written(nodes.withColumn("h", F.xxhash64("node")), "near-nodes")
+    stars = nodes.select("h", F.explode("bands").alias("band")).groupBy("band").agg(F.min("h").alias("a"), F.max("h").alias("z")).filter("a <> z")
     stars = written(stars.select("band", "a"), "near-stars")
-    edges = banded.withColumnRenamed("node", "b").join(stars, "band").filter("a <> b").select("a", "b").distinct()
+    shared = KeyBitmap(stars, "band")
+
+    def some_bands(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists = batch.column(1)
+        return pa.RecordBatch.from_arrays([batch.column(0), *filter_lists(lists, shared.has(lists.flatten().to_numpy()))], names=["b", "bands"])
+
+    banded = map_batches(nodes.select("h", "bands"), some_bands, "b long, bands array<long>").select("b", F.explode("bands").alias("band"))
+    edges = banded.join(stars, "band").filter("a <> b").select("a", "b").distinct()
     groups = connected_components(written(edges, "near-candidates"), "near-groups")
-    groups = groups.join(nodes.select("node", "key", "n"), "node")
-    groups = written(groups, "near-members")
+    groups = groups.withColumnRenamed("node", "h").join(nodes.select("h", "node", "key", "n"), "h")
+    groups = written(groups.select("node", "key", "n", "comp"), "near-members")
     blocks = groups.groupBy("comp").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
     blocks = written(blocks, "near-blocks")
     members = written(groups.join(blocks, "comp").withColumnRenamed("key", "first"), "near-members")
+    wanted = KeyBitmap(members.select(F.xxhash64("first").alias("k")), "k")
 
-    def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def sets(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        batch = batch.filter(pa.array(wanted.has(batch.column("k").to_numpy())))
         found, regs, node = [], [], []
         for begin, end in text_slices(batch, "t"):
             for s in shingle_sets(*bytes_of(batch, "t", begin, end), shingle):
                 found.append(s.tobytes())
                 regs.append(registers(s).tobytes())
                 node.append(hashlib.blake2b(s, digest_size=16).digest())
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(3)), pa.array(found, pa.binary()), pa.array(regs, pa.binary()), pa.array(node, pa.binary())], names=["comp", "blocks", "node", "found", "regs", "now"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), pa.array(regs, pa.binary()), pa.array(node, pa.binary())], names=["key", "found", "regs", "now"]) if node else None
 
-    texts = source.join(members, F.col("key").eqNullSafe(F.col("first"))).select("comp", "blocks", "node", "t")
-    full = map_batches(texts, sets, "comp binary, blocks int, node binary, found binary, regs binary, now binary").filter("node = now").drop("now")
+    full = map_batches(source.select("key", F.xxhash64("key").alias("k"), "t"), sets, f"key {kind}, found binary, regs binary, now binary")
+    full = full.join(members, (F.col("now") == F.col("node")) & F.col("key").eqNullSafe(F.col("first"))).select("comp", "blocks", "node", "found", "regs")
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     full = full.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     full = full.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")}).select("comp", "i", "j", "node", "found", "regs")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import U64, bytes_of, free_name, map_batches, mix, prefix_hashes, span_hash, text_slices, written
+from tidemark.llm.common import U64, KeyBitmap, bytes_of, filter_lists, free_name, map_batches, mix, prefix_hashes, span_hash, text_slices, written
 
 THRESHOLD = 400
 GRAM = 128
@@ -164,20 +164,41 @@ def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", thr
     windows = facts.filter(F.col("n_bytes") >= threshold)
     # one row stands for all copies of a text
     nodes = written(windows.groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("key").alias("key"), F.max("n_bytes").alias("n_bytes")), "suffix-nodes")
-    first = nodes.select("node", F.col("key").alias("first"))
-    single = windows.join(first, "node").filter(F.col("key").eqNullSafe(F.col("first")))
-    member = single.select("node", "key", F.explode(F.arrays_zip("grams", "places")).alias("m"))
-    member = written(member.select("node", "key", F.col("m.grams").alias("gram"), F.col("m.places").alias("place")), "suffix-members")
+    first = nodes.select(F.col("node").alias("n1"), F.col("key").alias("first"))
+    # copies have equal owners, so they don't make a class of two
     own = F.xxhash64("node", "place")
-    classes = member.groupBy("gram").agg(F.min(own).alias("lo"), F.max(own).alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi")
+    every = windows.select("node", F.explode(F.arrays_zip("grams", "places")).alias("m")).select("node", F.col("m.grams").alias("gram"), F.col("m.places").alias("place"))
+    classes = every.select("gram", own.alias("own")).groupBy("gram").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi")
     classes = written(classes.select("gram", "size", (F.col("size") > hot).alias("hot")), "suffix-classes")
     members = classes.agg(F.sum("size")).first()[0] or 0
-    wanted = member.join(classes, "gram").groupBy("node", "key").agg(F.collect_list(F.struct("gram", "place", "hot")).alias("at"))
-    sure = single.filter(F.size("sure") > 0).join(nodes.filter("copies = 1").select("node"), "node", "left_semi").select(F.col("node").alias("n2"), "sure")
-    wanted = wanted.join(sure, F.col("node") == F.col("n2"), "full").select(F.coalesce("node", "n2").alias("node"), "key", "at", "sure")
-    wanted = wanted.join(first, "node").select("node", "first", "at", "sure")
+    shared = KeyBitmap(classes, "gram")
+
+    def some_grams(batch: pa.RecordBatch) -> pa.RecordBatch:
+        grams, places = filter_lists(batch.column(2), shared.has(batch.column(2).flatten().to_numpy()), batch.column(3))
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), grams, places, batch.column(4)], names=["key", "node", "grams", "places", "sure"])
+
+    some = map_batches(windows.select("key", "node", "grams", "places", "sure"), some_grams, f"key {kind}, node binary, grams array<long>, places array<int>, sure array<int>")
+    some = some.filter("size(grams) > 0 or size(sure) > 0")
+    single = some.join(first, (F.col("node") == F.col("n1")) & F.col("key").eqNullSafe(F.col("first"))).select("node", "key", "grams", "places", "sure")
+    single = written(single, "suffix-singles")
+    member = single.select("node", "key", F.explode(F.arrays_zip("grams", "places")).alias("m")).select("node", "key", F.col("m.grams").alias("gram"), F.col("m.places").alias("place"))
+    wanted = member.join(classes.select("gram", "hot"), "gram").groupBy("node", "key").agg(F.collect_list(F.struct("gram", "place", "hot")).alias("at"))
+    lone = nodes.filter("copies = 1").select("node")
+    sure = single.filter(F.size("sure") > 0).join(lone, "node", "left_semi").select(F.col("node").alias("n2"), F.col("key").alias("k2"), "sure").dropDuplicates(["n2"])
+    wanted = wanted.join(sure, F.col("node") == F.col("n2"), "full").select(F.coalesce("node", "n2").alias("node"), F.when(F.col("node").isNull(), F.col("k2")).otherwise(F.col("key")).alias("first"), "at", "sure")
+    wanted = written(wanted, "suffix-wanted")
+    rows = KeyBitmap(wanted.select(F.xxhash64("first").alias("k")), "k")
+
+    def pack(batch: pa.RecordBatch) -> pa.RecordBatch:
+        import zstandard
+
+        batch = batch.filter(pa.array(rows.has(batch.column(1).to_numpy())))
+        squeeze = zstandard.ZstdCompressor(level=1)
+        raw = batch.column("t").cast(pa.binary()).to_pylist()
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([squeeze.compress(x) for x in raw], pa.binary()), pa.array([hashlib.sha256(x).digest() for x in raw], pa.binary())], names=["key", "z", "own"])
+
     # texts that still have candidates, compressed
-    packed = map_batches(source, _pack, f"key {kind}, z binary, own binary")
+    packed = map_batches(source.select("key", F.xxhash64("key").alias("k"), "t"), pack, f"key {kind}, z binary, own binary")
     texts = packed.join(wanted, F.col("key").eqNullSafe(F.col("first")) & (F.col("own") == F.col("node")))
     texts = written(texts.select("node", "z", "at", "sure"), "suffix-texts")
 
@@ -259,14 +280,6 @@ def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", thr
     return facts.select("key", "node", "n_bytes"), changes.union(copied)
 
 
-def _pack(batch: pa.RecordBatch) -> pa.RecordBatch:
-    import zstandard
-
-    squeeze = zstandard.ZstdCompressor(level=1)
-    raw = batch.column("t").cast(pa.binary()).to_pylist()
-    return pa.RecordBatch.from_arrays([batch.column(0), pa.array([squeeze.compress(x) for x in raw], pa.binary()), pa.array([hashlib.sha256(x).digest() for x in raw], pa.binary())], names=["key", "z", "own"])
-
-
 def remove_repeated(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
     """``docs`` with every byte of a repeated window taken out of ``text``.
 
