@@ -13,7 +13,7 @@ import pytest
 from tidemark.llm import entry
 from tidemark.llm import near_dup, suffix_dedup
 from tidemark.llm.fingerprints import chain_of, edited, entropies, likeness, parsed, shown
-from tidemark.llm.near_dup import band_keys, estimate, linked, registers
+from tidemark.llm.near_dup import band_keys, estimate, linked, registers, zeros_shares
 from tidemark.llm.packing import plan, plan_lines
 from tidemark.llm.token_store import build_index, slots_of
 from tidemark.llm.url_rules import HOST_RULES, match_rules, mine_rules, page_labels, url_tokens
@@ -107,11 +107,11 @@ def test_hyperminhash_estimate():
         b = a.copy()
         b[: n // 12] = rng.integers(0, 2**63, n // 12, dtype=np.uint64)
         true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
-        assert abs(float(estimate(registers(a), registers(b)[None], n, np.array([n]))[0]) - true) < 0.12
+        assert abs(float(estimate(registers(a), registers(b)[None], zeros_shares([n])[0], zeros_shares([n]))[0]) - true) < 0.12
         assert np.array_equal(band_keys(registers(a)), band_keys(registers(a[::-1])))
     # accidental collisions are taken out: disjoint sets are near zero
     a, b = rng.integers(0, 2**63, 3000, dtype=np.uint64), rng.integers(0, 2**63, 3000, dtype=np.uint64)
-    assert float(estimate(registers(a), registers(b)[None], 3000, np.array([3000]))[0]) < 0.05
+    assert float(estimate(registers(a), registers(b)[None], zeros_shares([3000])[0], zeros_shares([3000]))[0]) < 0.05
 
 
 def test_linked_finds_chains():

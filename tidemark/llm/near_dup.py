@@ -100,15 +100,16 @@ def band_keys(regs: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def estimate(regs: np.ndarray, others: np.ndarray, size: int, sizes: np.ndarray) -> np.ndarray:
-    """Jaccard similarity from equal registers, less those that agree by accident."""
+def zeros_shares(sizes: np.ndarray) -> np.ndarray:
+    """Probability that the least of so many values has 0, 1, ... 63 leading zeros; a row for each size."""
     level = np.arange(64)
+    n = np.asarray(sizes, np.float64)[:, None]
+    return np.power(1 - np.exp2(-(level + 1.0)), n) - np.where(level == 0, 0.0, np.power(1 - np.exp2(-np.maximum(level, 1.0)), n))
 
-    def share(n):  # probability that the least of n values has so many leading zeros
-        n = np.asarray(n, np.float64)[..., None]
-        return np.power(1 - np.exp2(-(level + 1.0)), n) - np.where(level == 0, 0.0, np.power(1 - np.exp2(-np.maximum(level, 1.0)), n))
 
-    accident = (share(size) * share(sizes)).sum(-1) / (1 << MANTISSA)
+def estimate(regs: np.ndarray, others: np.ndarray, share: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """Jaccard similarity from equal registers, less those that agree by accident (``zeros_shares`` of both sides)."""
+    accident = shares @ share / (1 << MANTISSA)
     return np.clip(((others == regs).mean(axis=1) - accident) / (1 - accident), 0, 1)
 
 
@@ -124,31 +125,34 @@ def linked(sets: list[np.ndarray], regs: np.ndarray, percent: int) -> np.ndarray
     sizes = np.array([len(s) for s in sets], np.int64)
     starts = np.r_[0, np.cumsum(sizes)]
     _, codes = np.unique(np.concatenate(sets), return_inverse=True)
-    mark = np.zeros(codes.max() + 1 if len(codes) else 1, bool)
+    mark = np.zeros(codes.max() + 1, np.int32)
     tried = np.zeros(n, bool)
+    shares = zeros_shares(sizes)
     while True:
-        counts = np.bincount(label, minlength=n)
-        rest = np.flatnonzero(~tried & (label != counts.argmax())) if tried.any() else np.arange(n)
+        largest = int(np.flatnonzero(label == np.bincount(label).argmax())[0])  # a member of it
+        rest = np.flatnonzero(~tried & (label != label[largest])) if tried.any() else np.arange(1)
         if not len(rest):
             return label
-        for i in rest[:1] if not tried.any() else rest[:256]:
+        for i in rest[:256].tolist():
+            if tried.any() and label[i] == label[largest]:
+                continue
             tried[i] = True
-            near = (label != label[i]) & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i]))
-            near = np.flatnonzero(near)
+            near = np.flatnonzero((label != label[i]) & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i])))
             if len(near):
-                near = near[estimate(regs[i], regs[near], sizes[i], sizes[near]) >= percent / 100 - SLACK]
+                near = near[estimate(regs[i], regs[near], shares[i], shares[near]) >= percent / 100 - SLACK]
             if not len(near):
                 continue
             mine = codes[starts[i] : starts[i + 1]]
-            mark[mine] = True
-            for j in near.tolist():
-                if label[j] == label[i]:
-                    continue
-                both = int(mark[codes[starts[j] : starts[j + 1]]].sum())
-                if 100 * both >= percent * (sizes[i] + sizes[j] - both):
-                    low, high = sorted((label[i], label[j]))
-                    label[label == high] = low
-            mark[mine] = False
+            mark[mine] = 1
+            if 4 * sizes[near].sum() >= len(codes):
+                both = np.add.reduceat(mark[codes], starts[:-1])[near]
+            else:
+                both = np.array([mark[codes[starts[j] : starts[j + 1]]].sum() for j in near.tolist()])
+            mark[mine] = 0
+            hit = near[100 * both >= percent * (sizes[i] + sizes[near] - both)]
+            if len(hit):
+                joined = np.unique(np.r_[label[hit], label[i]])
+                label[np.isin(label, joined)] = joined[0]
 
 
 def near_dups(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = 85, shingle: int = 3, block: int = BLOCK_SHINGLES) -> DataFrame:
