@@ -118,17 +118,28 @@ def mine_rules(labelled: DataFrame, url: str = "url", label: str = "verdict", mi
 
 
 def match_rules(tokens: Column, rules: list[dict]) -> Column:
-    """Number of the first rule whose tokens are all there, from an inverted index; null for none."""
+    """Number of the first rule whose tokens are all there, from an inverted index; null for none.
+
+    A rule is filed under its token that the fewest rules have; a URL's tokens bring up
+    the rules filed under them, and these are checked for their other tokens.
+    """
     if not rules:
         return F.lit(None).cast("int")
+    uses: dict[str, int] = {}
+    for r in rules:
+        for t in r["tokens"]:
+            uses[t] = uses.get(t, 0) + 1
     index: dict[str, list[int]] = {}
     for i, r in enumerate(rules):
-        for t in r["tokens"]:
-            index.setdefault(t, []).append(i)
+        index.setdefault(min(r["tokens"], key=lambda t: (uses[t], t)), []).append(i)
     lookup = F.create_map(*[x for t, at in index.items() for x in (F.lit(t), F.array(*map(F.lit, at)))])
-    sizes = F.array(*[F.lit(len(r["tokens"])) for r in rules])
-    hits = F.flatten(F.filter(F.transform(tokens, lambda t: F.try_element_at(lookup, t)), lambda x: x.isNotNull()))
-    return let(hits, lambda found: F.array_min(F.filter(F.array_distinct(found), lambda r: F.size(F.filter(found, lambda x: x == r)) == F.get(sizes, r))))
+    needs = F.array(*[F.array(*map(F.lit, r["tokens"])) for r in rules])
+
+    def first(have: Column) -> Column:
+        filed = F.flatten(F.filter(F.transform(have, lambda t: F.try_element_at(lookup, t)), lambda x: x.isNotNull()))
+        return F.array_min(F.filter(filed, lambda r: F.forall(F.get(needs, r), lambda t: F.array_contains(have, t))))
+
+    return let(tokens, first)
 
 
 def url_filter(pages: DataFrame, rules: list[dict], url: str = "url", host_rules=HOST_RULES) -> DataFrame:
