@@ -96,36 +96,40 @@ def _steps(c: Column, f: FieldSpec, authored: bool = True) -> Column:
     return text.change_case(out, f.case)
 
 
-def compile_field(f: FieldSpec) -> dict[str, Column]:
-    """``prepared`` (text), ``value`` (typed), ``fallback`` (flag) and ``error`` (code or null) of one field.
-
-    The error is the first of: text too long, selection operand invalid, selection
-    undecided, required text missing, conversion, checks in order, required value missing.
-    """
-    invalid = undecided = fallback = F.lit(False)
+def _given(f: FieldSpec) -> dict[str, Column]:
+    """The provider's text, and whether an operand is invalid, no rule decides, the fallback is used."""
+    out = {"invalid": F.lit(False), "undecided": F.lit(False), "fallback": F.lit(False)}
     raw = F.col(f"`{f.source}`").cast("string") if f.source else F.lit(None).cast("string")
     if f.provider == "constant":
-        given = F.lit(f.constant)
+        out["given"] = F.lit(f.constant)
     elif f.provider == "fallback":
         probe = text.empty_as_null(_steps(raw, f, authored=False))
-        fallback = probe.isNull()
-        given = F.when(fallback, F.lit(f.constant)).otherwise(raw)
+        out["fallback"] = probe.isNull()
+        out["given"] = F.when(probe.isNull(), F.lit(f.constant)).otherwise(raw)
     elif f.provider == "selection":
-        given, invalid, undecided = selected(f.rules, f.otherwise)
+        out["given"], out["invalid"], out["undecided"] = selected(f.rules, f.otherwise)
     elif f.provider == "formula":
         names = {n: (F.col(f"`{n}`").cast("string"), "text") for n in _names(f.formula or "")}
-        given = formula(f.formula or "", names).cast("string")
+        out["given"] = formula(f.formula or "", names).cast("string")
     else:
-        given = raw
-    done = _steps(given, f)
-    long = F.coalesce(text.too_long(done), F.lit(False)) if f.steps or f.formula else F.lit(False)
+        out["given"] = raw
+    return out
+
+
+def _prepared(f: FieldSpec, given: Column, done: Column) -> Column:
     prepared = text.empty_as_null(done)
     if f.value_map:  # on the stripped raw text; a hit goes past the text steps
         table = F.create_map(*[F.lit(x) for pair in f.value_map for x in pair])
         prepared = F.coalesce(F.try_element_at(table, text.trim(given)), prepared)
+    return prepared
+
+
+def _typed(f: FieldSpec, prepared: Column) -> Column:
     value = convert.parse(prepared, f.kind, f.locale, f.form)
-    if f.kind == "decimal" and f.places is not None:
-        value = convert.round_decimal(value, f.places, f.rounding)
+    return convert.round_decimal(value, f.places, f.rounding) if f.kind == "decimal" and f.places is not None else value
+
+
+def _error(f: FieldSpec, long: Column, invalid: Column, undecided: Column, prepared: Column, value: Column) -> Column:
     error = F.when(long, F.lit("SOURCE_RULE_OUTPUT_TOO_LONG")).when(invalid, F.lit("SOURCE_SELECTION_RULE_SOURCE_INVALID")).when(undecided, F.lit("SOURCE_SELECTION_RULE_UNRESOLVED"))
     if f.required:
         error = error.when(prepared.isNull(), F.lit("SOURCE_REQUIRED_VALUE_MISSING"))
@@ -137,7 +141,24 @@ def compile_field(f: FieldSpec) -> dict[str, Column]:
             "pattern": lambda c=c: (convert.wrong_pattern(prepared, c.what), "SOURCE_PATTERN_MISMATCH"),
         }[c.kind]()
         error = error.when(wrong, F.lit(code))
-    return {"prepared": prepared, "value": value, "fallback": fallback, "error": error}
+    return error
+
+
+def _long(f: FieldSpec, done: Column) -> Column:
+    return F.coalesce(text.too_long(done), F.lit(False)) if f.steps or f.formula else F.lit(False)
+
+
+def compile_field(f: FieldSpec) -> dict[str, Column]:
+    """``prepared`` (text), ``value`` (typed), ``fallback`` (flag) and ``error`` (code or null) of one field.
+
+    The error is the first of: text too long, selection operand invalid, selection
+    undecided, required text missing, conversion, checks in order, required value missing.
+    """
+    g = _given(f)
+    done = _steps(g["given"], f)
+    prepared = _prepared(f, g["given"], done)
+    value = _typed(f, prepared)
+    return {"prepared": prepared, "value": value, "fallback": g["fallback"], "error": _error(f, _long(f, done), g["invalid"], g["undecided"], prepared, value)}
 
 
 def _names(expression: str) -> list[str]:
@@ -154,21 +175,29 @@ def issue_array(errors: Mapping[str, Column]) -> Column:
 
 
 def prepare(df: DataFrame, spec: DatasetSpec, keep: Sequence[str] = ()) -> DataFrame:
-    """One narrow projection: ``keep``, each field's value, its prepared text ``<name>__text`` and ``issues``."""
+    """One narrow stage: ``keep``, each field's value, its prepared text ``<name>__text`` and ``issues``.
+
+    Each step is a projection on the one before, so that a text that later steps need
+    several times is computed once.
+    """
     fields = [f for f in spec.fields if f.provider != "omit"]
-    built = {f.name: compile_field(f) for f in fields}
-    wide = df.select(
-        *[F.col(f"`{c}`") for c in keep],
-        *[b["value"].alias(n) for n, b in built.items()],
-        *[b["prepared"].alias(f"{n}__text") for n, b in built.items()],
-        *[b["fallback"].alias(f"{n}__fallback") for n, b in built.items() if _has_fallback(spec, n)],
-        issue_array({n: b["error"] for n, b in built.items()}).alias("issues"),
+    kept = [F.col(f"`{c}`").alias(f"k{i}__") for i, c in enumerate(keep)]
+    again = [F.col(f"k{i}__") for i in range(len(keep))]
+    first = [(f"{part}{i}__", c) for i, f in enumerate(fields) for part, c in _given(f).items()]
+    cur = df.select(*kept, *[c.alias(n) for n, c in first])
+    flags = [F.col(n) for n, _ in first if not n.startswith("given")]
+    cur = cur.select(*again, *flags, *[F.col(f"given{i}__") for i in range(len(fields))], *[_steps(F.col(f"given{i}__"), f).alias(f"done{i}__") for i, f in enumerate(fields)])
+    cur = cur.select(*again, *flags, *[_prepared(f, F.col(f"given{i}__"), F.col(f"done{i}__")).alias(f"text{i}__") for i, f in enumerate(fields)], *[_long(f, F.col(f"done{i}__")).alias(f"long{i}__") for i, f in enumerate(fields)])
+    cur = cur.select("*", *[_typed(f, F.col(f"text{i}__")).alias(f"value{i}__") for i, f in enumerate(fields)])
+    errors = {f.name: _error(f, *[F.col(f"{part}{i}__") for part in ("long", "invalid", "undecided", "text", "value")]) for i, f in enumerate(fields)}
+    cur = cur.select("*", *[e.alias(f"error{i}__") for i, e in enumerate(errors.values())])
+    return cur.select(
+        *[F.col(f"k{i}__").alias(c) for i, c in enumerate(keep)],
+        *[F.col(f"value{i}__").alias(f.name) for i, f in enumerate(fields)],
+        *[F.col(f"text{i}__").alias(f"{f.name}__text") for i, f in enumerate(fields)],
+        *[F.col(f"fallback{i}__").alias(f"{f.name}__fallback") for i, f in enumerate(fields) if f.provider == "fallback"],
+        issue_array({f.name: F.col(f"error{i}__") for i, f in enumerate(fields)}).alias("issues"),
     )
-    return wide
-
-
-def _has_fallback(spec: DatasetSpec, name: str) -> bool:
-    return any(f.name == name and f.provider == "fallback" for f in spec.fields)
 
 
 def map_by_join(df: DataFrame, column: str, pairs: DataFrame, out: str) -> DataFrame:
