@@ -44,11 +44,11 @@ class BpeAutomaton:
 
     def _allocate(self, rows):
         self.next = np.full((rows, self.width), -1, np.int32)
-        self.delta = np.zeros((rows, self.width), np.int8)
-        self.last = np.zeros((rows, self.width) if self.track else (0, 0), np.int32)
+        # what a transition gives: the change in the number of tokens, or the last token
+        self.out = np.zeros((rows, self.width), np.int32 if self.track else np.int8)
 
     def _grow(self, rows, width):
-        for name in ("next", "delta", "last")[: 3 if self.track else 2]:
+        for name in ("next", "out"):
             old = getattr(self, name)
             new = np.full((rows, width), -1 if name == "next" else 0, old.dtype)
             new[: old.shape[0], : old.shape[1]] = old
@@ -61,7 +61,7 @@ class BpeAutomaton:
             at = self.keys[key] = len(self.states)
             self.states.append(key)
             if at >= self.next.shape[0]:
-                self._grow(2 * self.next.shape[0], self.width)
+                self._grow(self.next.shape[0] * 3 // 2, self.width)
         return at
 
     def encode(self, text: str) -> list[str]:
@@ -112,12 +112,10 @@ class BpeAutomaton:
             target = self._state((grown, text, tuple(kept)))
         column = self.columns[symbol]
         self.next[state, column] = target
-        self.delta[state, column] = count
-        if self.track:
-            self.last[state, column] = self.pieces[text]
+        self.out[state, column] = self.pieces[text] if self.track else count
 
     def run(self, symbols: np.ndarray, ends: np.ndarray, lanes: int = 2048):
-        """Tokens added at each symbol, and the last token there.
+        """Tokens added at each symbol, or with ``track`` the last token there.
 
         ``ends`` marks the last symbol of each word.  The stream is cut into ``lanes``
         chunks.  A chunk that holds a word end maps every entry state to one exit
@@ -126,9 +124,9 @@ class BpeAutomaton:
         end are passed through as part of the head that began earlier).
         """
         size = len(symbols)
-        delta, last = np.zeros(size, np.int8), np.zeros(size if self.track else 0, np.int32)
+        given = np.zeros(size, self.out.dtype)
         if not size:
-            return delta, last
+            return given
         if len(self.states) > self.max_states:
             self._reset()
         symbols = symbols.astype(np.int32) + self.n * ends.astype(np.int32)
@@ -150,13 +148,13 @@ class BpeAutomaton:
         first[0] = 0
         whole = first < end  # the chunk has a synchronising boundary with symbols after it
         exits = np.zeros(len(begin), np.int64)
-        exits[whole] = self._lockstep(columns, first[whole], end[whole], np.zeros(whole.sum(), np.int64), delta, last)
+        exits[whole] = self._lockstep(columns, first[whole], end[whole], np.zeros(whole.sum(), np.int64), given)
         heads = np.flatnonzero((begin > 0) & (begin < first) & np.r_[True, whole[:-1]])
         if len(heads):
-            self._lockstep(columns, begin[heads], first[heads], exits[heads - 1], delta, last)
-        return delta, last
+            self._lockstep(columns, begin[heads], first[heads], exits[heads - 1], given)
+        return given
 
-    def _lockstep(self, columns, begin, end, state, delta, last):
+    def _lockstep(self, columns, begin, end, state, given):
         """Run the spans [begin, end) side by side from ``state``; returns their last states."""
         order = np.argsort(begin - end, kind="stable")
         at, stop, state = begin[order].copy(), end[order], state[order].copy()
@@ -174,9 +172,7 @@ class BpeAutomaton:
                 for s, c in set(zip(now[missing].tolist(), column[missing].tolist(), strict=True)):
                     self._expand(s, self.used[c])
                 target = self.next[now, column]
-            delta[here] = self.delta[now, column]
-            if self.track:
-                last[here] = self.last[now, column]
+            given[here] = self.out[now, column]
             state[:active] = target
             at[:active] += 1
             step += 1
@@ -189,9 +185,7 @@ class BpeAutomaton:
                     self._expand(s, used[c])
                     known = self.next
                     t = int(known[s, c])
-                delta[i] = self.delta[s, c]
-                if self.track:
-                    last[i] = self.last[s, c]
+                given[i] = self.out[s, c]
                 s = t
             state[lane] = s
         out = np.empty_like(state)

@@ -46,7 +46,7 @@ class PieceCodec:
         self.symbol = np.full(0x110000, -1, np.int32)
         for k, c in enumerate(alphabet):
             self.symbol[ord(c)] = k
-        self.automaton = BpeAutomaton(plain, alphabet, alphabet, lambda a, b: -score[a + b] if a + b in score else None, max_states=60_000, track=True)
+        self.automaton = BpeAutomaton(plain, alphabet, alphabet, lambda a, b: -score[a + b] if a + b in score else None, max_states=150_000, track=True)
         self.lengths = np.array([max(1, len(p)) for p in self.pieces], np.int64)
         self.raw = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else b"" if special[i] else p.replace(MARK, " ").encode() for i, p in enumerate(self.pieces)]
 
@@ -63,7 +63,7 @@ class PieceCodec:
         ends[:-1] = mark[1:] & ~mark[:-1] | ~known[1:]
         ends[stops[sizes > 0] - 1] = True
         ends = ends[known]  # before an unknown character a word ends, too
-        _, last = self.automaton.run(symbol[known], ends)
+        last = self.automaton.run(symbol[known], ends)
         ids, at = backtrack(last, ends, self.lengths)
         place = np.flatnonzero(known)[at]
         odd = np.flatnonzero(~known)

@@ -112,7 +112,7 @@ class WordBpeCounter:
     def _counts(self, texts: list[str]) -> list[int]:
         sizes = [len(t.encode("utf-8", "surrogatepass")) if not t.isascii() else len(t) for t in texts]
         symbols, ends, kept = self.scan("\n".join(texts))
-        added, _ = self.automaton.run(symbols, ends)
+        added = self.automaton.run(symbols, ends)
         total = np.r_[0, np.cumsum(added, dtype=np.int64)]
         place = np.r_[0, np.cumsum(kept, dtype=np.int64)]
         stop = np.cumsum(np.array(sizes, np.int64) + 1) - 1
