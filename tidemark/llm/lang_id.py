@@ -64,38 +64,46 @@ def bags(texts: list[str]) -> np.ndarray:
 
 def svm(x: np.ndarray, positive: np.ndarray, cost: float = 10.0, steps: int = 60) -> np.ndarray:
     """Weights and bias of an L2 machine with squared hinge loss, by conjugate-gradient Newton steps; classes weigh the same."""
-    x = np.column_stack([x, np.ones(len(x), np.float32)])
-    y = np.where(positive, 1.0, -1.0)
-    weight = cost * np.where(positive, 0.5 / max(1, positive.sum()), 0.5 / max(1, (~positive).sum())) * len(y)
-    w = np.zeros(x.shape[1])
+    # the bias is a weight apart; all in 32 bits, so that no product copies the rows
+    y = np.where(positive, 1, -1).astype(np.float32)
+    weight = (cost * len(y) * np.where(positive, 0.5 / max(1, positive.sum()), 0.5 / max(1, (~positive).sum()))).astype(np.float32)
+    w = np.zeros(x.shape[1] + 1, np.float32)
+
+    def scores(v):
+        return x @ v[:-1] + v[-1]
+
+    def back(r):
+        return np.append(r @ x, r.sum(dtype=np.float32)).astype(np.float32)
+
+    def loss(v):
+        m = np.maximum(0, 1 - y * scores(v))
+        return 0.5 * float(v @ v) + 0.5 * float(weight @ (m * m))
+
     for _ in range(steps):
-        margin = 1 - y * (x @ w)
-        active = margin > 0
-        gradient = w - x[active].T @ (weight[active] * y[active] * margin[active])
-        if np.linalg.norm(gradient) < 1e-3:
+        margin = 1 - y * scores(w)
+        active = (margin > 0).astype(np.float32)
+        gradient = w - back(active * weight * y * margin)
+        if np.linalg.norm(gradient) < 1e-3 * max(1.0, float(np.linalg.norm(w))):
             break
-        a, c = x[active], weight[active]
+        c = active * weight
         step, r = np.zeros_like(w), -gradient
         p, rr = r.copy(), float(r @ r)
         for _ in range(25):
-            hp = p + a.T @ (c * (a @ p))
-            alpha = rr / float(p @ hp)
+            hp = p + back(c * scores(p))
+            alpha = np.float32(rr / float(p @ hp))
             step += alpha * p
             r -= alpha * hp
             new = float(r @ r)
-            if new < 1e-8 * float(gradient @ gradient):
+            if new < 1e-4 * float(gradient @ gradient):
                 break
-            p, rr = r + new / rr * p, new
-
-        def loss(v):
-            m = np.maximum(0, 1 - y * (x @ v))
-            return 0.5 * float(v @ v) + 0.5 * float(weight @ (m * m))
-
+            p, rr = r + np.float32(new / rr) * p, new
         t, here = 1.0, loss(w)
-        while loss(w + t * step) > here and t > 1e-6:
+        while loss(w + np.float32(t) * step) >= here and t > 1e-4:
             t /= 2
-        w = w + t * step
-    return w.astype(np.float32)
+        if t <= 1e-4:
+            break
+        w = w + np.float32(t) * step
+    return w
 
 
 class Duels:
