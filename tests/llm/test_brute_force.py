@@ -212,7 +212,7 @@ def test_token_counts_odd_texts():
 
     w = WordBpeCounter(public_tokenizers.path("word_bpe_49k.json"))
     w.automaton.max_states = 50  # thrown away and made again
-    odd = ["it's 'start don't we'll!'s ''s I'm 're", "Σας ΣΣ", "Ǆ İstanbul ½x²", "x́é 漢字 kana ひらがな", "   ", "a​b 　 c\u0085d", "'s's're'v 'LL A'RE", "\U0001f600\U0001f600 é!É", "ab1'll2x" * 3000, "unbroken" * 20000]
+    odd = ["it's 'start don't we'll!'s ''s I'm 're", "Σας ΣΣ", "Ǆ İstanbul ½x²", "x́é 漢字 kana ひらがな", "   ", "a​b 　 c\u0085d", "'s's're'v 'LL A'RE", "\U0001f600\U0001f600 é!É", "ab1'll2x" * 3000, "unbroken" * 20000, "new \ua7cb\ua7dcx letters", "<|endoftext|>"]
     for _ in range(2):
         assert w.counts(odd) == [len(w.library.encode(o, add_special_tokens=False).ids) for o in odd]
 

@@ -56,6 +56,14 @@ class WordBpeCounter:
         merges = {(own(m[0]), own(m[1])): r for r, m in enumerate(m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])}
         self.automaton = BpeAutomaton(pieces, chars, [final[c] for c in chars], lambda a, b: merges.get((a, b)))
         self.kinds = char_classes()
+        # code points that this Python doesn't know may be letters to the library
+        self.unknown = np.array([unicodedata.category(chr(cp)) == "Cn" for cp in range(sys.maxunicode + 1)])
+
+    def strange(self, text: str) -> bool:
+        """Special strings and unassigned characters are left to the library."""
+        if any(s in text for s in self.specials):
+            return True
+        return not text.isascii() and bool(self.unknown[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].any())
 
     def normal(self, text: str) -> str:
         if not text.isascii():
@@ -66,9 +74,8 @@ class WordBpeCounter:
 
     def counts(self, texts: list[str]) -> list[int]:
         """Tokens of each text, without added special tokens."""
-        odd = [i for i, t in enumerate(texts) if any(s in t for s in self.specials)]
-        whole = ["" if i in set(odd) else self.normal(t) for i, t in enumerate(texts)] if odd else [self.normal(t) for t in texts]
-        out = self._counts(whole)
+        odd = {i for i, t in enumerate(texts) if self.strange(t)}
+        out = self._counts(["" if i in odd else self.normal(t) for i, t in enumerate(texts)])
         for i in odd:
             out[i] = len(self.library.encode(texts[i], add_special_tokens=False).ids)
         return out
