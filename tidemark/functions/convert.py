@@ -54,7 +54,7 @@ def parse_date(c: Column, form: str = "iso") -> Column:
     if form == "iso":
         return F.when(c.rlike(ISO_DATE), c.try_cast("date"))
     shape = {"dmy_slash": "/", "mdy_slash": "/", "dmy_dot": r"\."}[form]
-    return F.when(c.rlike(rf"\A[0-9]{{1,2}}{shape}[0-9]{{1,2}}{shape}[0-9]{{4}}\z"), F.try_to_date(c, DATES[form]) if hasattr(F, "try_to_date") else F.try_to_timestamp(c, F.lit(DATES[form])).cast("date"))
+    return F.when(c.rlike(rf"\A[0-9]{{1,2}}{shape}[0-9]{{1,2}}{shape}[0-9]{{4}}\z"), F.try_to_date(c, DATES[form]))
 
 
 def parse_datetime(c: Column, form: str = "iso") -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import json
 import os
 import shutil
 import tempfile
@@ -71,7 +72,7 @@ def facts(df: DataFrame, row: str = "src_row") -> dict:
 
 def open_snapshot(spark: SparkSession, path: str, expected: dict, row: str = "src_row") -> DataFrame:
     """The snapshot, if schema, row count, distinct rows and hash are as frozen; else an error."""
-    df = spark.read.schema(T.StructType.fromJson(__import__("json").loads(expected["schema"]))).parquet(path)
+    df = spark.read.schema(T.StructType.fromJson(json.loads(expected["schema"]))).parquet(path)
     found = facts(df, row)
     for k in ("n_rows", "n_distinct", "first", "last", "hash"):
         if found[k] != expected[k]:
