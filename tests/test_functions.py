@@ -39,6 +39,12 @@ def test_white_space_and_case(frame):
         assert se == (c if first is None else c[:first] + c[first].upper() + c[first + 1 :])
 
 
+def test_trim_takes_all_white_space(spark):
+    cases = [chr(c) + "x" + chr(c) for c in [*range(1, 0x300), *range(0x1680, 0x1690), *range(0x2000, 0x2070), 0x3000, 0xFEFF]] + ["\u3000\u2003 a b \x1f\x85", "\u3000"]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, s string")
+    assert list(values(df, text.trim(F.col("s")))[0]) == [c.strip() for c in cases]
+
+
 def test_replacements(frame):
     s = F.col("s")
     first, every, prefix, suffix, pattern, once, digits = values(

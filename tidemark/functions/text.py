@@ -16,9 +16,13 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+#: Fixed value: the white space characters.
+WHITE_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def trim(c: Column) -> Column:
-    """Without white space at either end."""
-    return F.regexp_replace(c, rf"(?U)\A{_SPACE}+|{_SPACE}+\z", "")
+    """Without white space at either end; looks at the ends only, not at the whole text."""
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def collapse(c: Column) -> Column:
