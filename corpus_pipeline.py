@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import free_name, written
+from tidemark.llm.common import free_name, join_few, written
 from tidemark.llm.lang_id import identify, train
 from tidemark.llm.near_dup import near_dups
 from tidemark.llm.packing import pack, pieces
@@ -38,12 +38,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the least doc_id; of repeated rows, one."""
-    found = near_dups(docs)
+    """One document of each group of near duplicates, the one with the least doc_id (all rows with that doc_id)."""
     own = free_name(docs, "k__")
-    kept = found.filter(F.col("key").eqNullSafe(F.col("component"))).select(F.col("key").alias(own)).distinct()
-    kept = written(kept, "pipeline-kept")
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(own)), "left_semi").select(docs.columns)
+    found = written(near_dups(docs).select(F.col("key").alias(own), F.col("key").eqNullSafe(F.col("component")).alias("kept")), "pipeline-found")
+    # most documents stay: only those whose doc_id may be dropped go through a join
+    dropped = written(found.groupBy(own).agg(F.max("kept").alias("kept")).filter("not kept").select(own, F.lit(True).alias(f"{own}x")), "pipeline-dropped")
+    return join_few(docs, F.col("doc_id"), dropped, own).filter(F.col(f"{own}x").isNull()).select(docs.columns)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

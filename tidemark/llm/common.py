@@ -174,6 +174,12 @@ def span_hash(prefix: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndar
 BITMAP_BITS = 1 << 26
 
 
+def bitmap_words(keys: DataFrame, column: str, bits: int = BITMAP_BITS) -> DataFrame:
+    """(w, b): the words of the bitmap of a column of hashes that have a bit set."""
+    words = keys.selectExpr(f"cast(shiftright(`{column}` & {bits - 1}L, 6) as int) AS w", f"shiftleft(1L, cast(`{column}` & 63L as int)) AS b")
+    return words.groupBy("w").agg(F.bit_or("b").alias("b"))
+
+
 class KeyBitmap:
     """Which hashes may be among some keys: a bitmap of fixed size (8 MB), whatever the number of keys.
 
@@ -183,8 +189,7 @@ class KeyBitmap:
 
     def __init__(self, keys: DataFrame, column: str, bits: int = BITMAP_BITS):
         self.mask = bits - 1
-        words = keys.selectExpr(f"cast(shiftright(`{column}` & {self.mask}L, 6) as int) AS w", f"shiftleft(1L, cast(`{column}` & 63L as int)) AS b")
-        found = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()  # at most bits / 64 rows
+        found = bitmap_words(keys, column, bits).toArrow()  # at most bits / 64 rows
         bitmap = np.zeros(bits // 64, U64)
         bitmap[found.column("w").to_numpy()] = found.column("b").to_numpy().view(U64)
         self.shared = keys.sparkSession.sparkContext.broadcast(bitmap)
@@ -194,6 +199,24 @@ class KeyBitmap:
         return (self.shared.value[(at >> U64(6)).astype(np.int64)] >> (at & U64(63))) & U64(1) == 1
 
 
+def join_few(docs: DataFrame, own: Column, few: DataFrame, key: str, bits: int = BITMAP_BITS) -> DataFrame:
+    """``docs`` left-joined with the rows of a written table that few of them match, by null-safe equality.
+
+    Rows that a bitmap of the table's keys leaves out stay where they are, with nulls; only
+    the others are shuffled for the exact join.  Keys are unique; the bitmap's words, at
+    most ``bits / 64`` rows, are broadcast.
+    """
+    mine, h, w, b = (free_name(docs, n) for n in ("own__", "hash__", "word__", "bits__"))
+    words = bitmap_words(few.select(F.xxhash64(key).alias("k")), "k", bits).select(F.col("w").alias(w), F.col("b").alias(b))
+    marked = docs.withColumn(mine, own).withColumn(h, F.xxhash64(mine))
+    marked = marked.join(F.broadcast(words), F.expr(f"cast(shiftright({h} & {bits - 1}L, 6) as int) = {w}"), "left")
+    hit = F.expr(f"coalesce((shiftright({b}, cast({h} & 63L as int)) & 1L) = 1L, false)")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rest = marked.filter(~hit).select(*columns, *[F.lit(None).cast(f.dataType).alias(f.name) for f in few.schema])
+    some = marked.filter(hit).select(*columns, mine).join(few, F.col(mine).eqNullSafe(F.col(key)), "left").drop(mine)
+    return rest.unionByName(some)
+
+
 def filter_lists(lists: pa.ListArray, keep: np.ndarray, *others: pa.ListArray) -> list[pa.ListArray]:
     """List columns of one shape without the items that ``keep`` (over all items) leaves out."""
     offsets = lists.offsets.to_numpy().astype(np.int64)

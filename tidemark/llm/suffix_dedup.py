@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import U64, KeyBitmap, bytes_of, filter_lists, free_name, map_batches, mix, prefix_hashes, span_hash, text_slices, written
+from tidemark.llm.common import U64, KeyBitmap, bytes_of, filter_lists, free_name, join_few, map_batches, mix, prefix_hashes, span_hash, text_slices, written
 
 THRESHOLD = 400
 GRAM = 128
@@ -288,14 +288,14 @@ def remove_repeated(docs: DataFrame, text: str = "text", key: str = "doc_id", **
     """
     _, changes = repeated_spans(docs, text, key, **options)
     node, rest = free_name(docs, "n__"), free_name(docs, "r__")
-    changes = written(changes.select(F.col("node").alias(node), F.col("rest").alias(rest)), "suffix-changes")
+    changes = changes.select(F.col("node").alias(node), F.col("rest").alias(rest))
 
     def decode(batch: pa.RecordBatch) -> pa.RecordBatch:
         kept = [b.decode("utf-8", "ignore") for b in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string())], names=[node, rest])
 
-    changes = map_batches(changes, decode, f"{node} binary, {rest} string")
-    joined = docs.join(changes, F.unhex(F.sha2(F.col(f"`{text}`").cast("binary"), 256)) == F.col(node), "left")
+    changes = written(map_batches(changes, decode, f"{node} binary, {rest} string"), "suffix-rests")
+    joined = join_few(docs, F.unhex(F.sha2(F.col(f"`{text}`").cast("binary"), 256)), changes, node)
     return joined.select(*[F.when(F.col(node).isNull(), F.col(f"`{c}`")).otherwise(F.col(rest)).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
 
 
