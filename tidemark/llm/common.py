@@ -20,7 +20,9 @@ SLICE_BYTES = 512 * 1024
 
 
 def public_vocabulary(name: str) -> str:
-    """Place of a public vocabulary file; read on the executors, never copied."""
+    """Place of a public vocabulary file, by its name or as given; read on the executors, never copied."""
+    if os.path.isabs(name):
+        return name
     import public_tokenizers
 
     return public_tokenizers.path(name)
