@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import functools
 import json
 import re
 
@@ -26,19 +27,28 @@ class ByteBpe:
     def __init__(self, name: str = "byte_bpe_50k.json", ranks: str = "byte_bpe_50k.tiktoken"):
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        path = public_vocabulary(name)
-        with open(path, encoding="utf-8") as f:
-            self.specials = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
+        self.path = public_vocabulary(name)
+        with open(self.path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.size = max([len(spec["model"]["vocab"]), *(i + 1 for i in self.specials.values())])
+        del spec
         with open(public_vocabulary(ranks), "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
         self.cut = re.compile("|".join(f"({re.escape(s)})" for s in self.specials))
 
+    @functools.cached_property
+    def library(self):
+        """Loaded when a text needs it: it takes more memory than all else here."""
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_file(self.path)
+        found.no_truncation()
+        found.no_padding()
+        return found
+
     def encode(self, text: str) -> np.ndarray:
         if not _PLAIN.match(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SLICE_BYTES, U64, free_name, mix, text_slices, texts_of
+from tidemark.llm.common import SLICE_BYTES, U64, free_name, in_arrow, mix, text_slices, texts_of
 
 WINDOW, REACH = 64, 24
 BITS, HASHES, FULL = 2048, 5, 160
@@ -163,7 +163,7 @@ def fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerprint")
                 found += [shown(c) for c in digests([t.encode("utf-8", "surrogatepass") for t in texts_of(batch, inner, begin, end)])]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.string())], names=[*batch.schema.names[:-1], out])
 
-    return kept.withColumn(inner, F.col(f"`{text}`")).mapInArrow(run, f"{fields}, `{out}` string")
+    return in_arrow(kept.withColumn(inner, F.col(f"`{text}`")), run, f"{fields}, `{out}` string")
 
 
 def edited(text: str, following: str) -> str:
@@ -237,7 +237,7 @@ def compare_with_next(docs: DataFrame, text: str = "text", key: str = "doc_id")
         if queue and (out := flush()) is not None:
             yield out
 
-    return ordered.mapInArrow(run, _SCHEMA)
+    return in_arrow(ordered, run, _SCHEMA)
 
 
 _SCHEMA = "key long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

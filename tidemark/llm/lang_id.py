@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import free_name, text_slices, texts_of
+from tidemark.llm.common import free_name, in_arrow, text_slices, texts_of
 
 #: Branches of the languages' family tree, by ISO 639-1 code.
 FAMILIES = {
@@ -203,7 +203,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: li
                 found += shared.value.predict(texts_of(batch, inner, begin, end))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*given, *out])
 
-    return rows.mapInArrow(run, f"{fields}{', ' if given else ''}`{out[0]}` string, `{out[1]}` double")
+    return in_arrow(rows, run, f"{fields}{', ' if given else ''}`{out[0]}` string, `{out[1]}` double")
 
 
 def op6_language_id(docs: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import U64, KeyBitmap, bytes_of, connected_components, filter_lists, map_batches, mix, prefix_hashes, span_hash, text_slices, written
+from tidemark.llm.common import U64, KeyBitmap, bytes_of, connected_components, filter_lists, in_arrow, map_batches, mix, prefix_hashes, span_hash, text_slices, written
 
 BANDS, ROWS = 30, 6
 MANTISSA = 10
@@ -234,7 +234,7 @@ def near_dups(docs: DataFrame, text: str = "text", key: str = "doc_id", percent:
             yield forest()
 
     grouped = full.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j")
-    links = written(grouped.mapInArrow(resolve, "a binary, b binary"), "near-links")
+    links = written(in_arrow(grouped, resolve, "a binary, b binary"), "near-links")
     roots = connected_components(links, "near-components")
     known = nodes.select("node", "key").join(roots, "node", "left").select("node", "key", F.coalesce("comp", "node").alias("comp"))
     known = written(known, "near-known")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.byte_bpe import byte_bpe
-from tidemark.llm.common import text_slices, texts_of, written
+from tidemark.llm.common import in_arrow, text_slices, texts_of, written
 
 END_ID = 2
 
@@ -135,7 +135,7 @@ def pieces(docs: DataFrame, capacity: int = 1024, text: str = "text", key: str =
 
     extra = ", ids binary" if with_ids else ""
     # the table fixes the parts and ranks: what reads it sees the same ones, whatever is recomputed
-    return written(source.mapInArrow(cut, f"key {kind}, piece int, start long, length long, ids_crc32 long, part int, rank long{extra}"), "pack-pieces")
+    return written(in_arrow(source, cut, f"key {kind}, piece int, start long, length long, ids_crc32 long, part int, rank long{extra}"), "pack-pieces")
 
 
 def pack(cut: DataFrame, capacity: int = 1024) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe_automaton import BpeAutomaton, backtrack
-from tidemark.llm.common import free_name, public_vocabulary, text_slices, texts_of
+from tidemark.llm.common import free_name, in_arrow, public_vocabulary, text_slices, texts_of
 
 MARK = "\u2581"
 
@@ -106,7 +106,7 @@ def _mapped(docs: DataFrame, column: str, keep: list[str] | None, names: list[st
             columns = fn(batch, inner)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=[*given, *names])
 
-    return rows.mapInArrow(run, fields + schema)
+    return in_arrow(rows, run, fields + schema)
 
 
 def encode_pieces(docs: DataFrame, text: str = "text", keep: list[str] | None = None, vocabulary: str = "piece_bpe_32k.model", out: str = "ids") -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import U64, KeyBitmap, bytes_of, filter_lists, free_name, join_few, map_batches, mix, prefix_hashes, span_hash, text_slices, written
+from tidemark.llm.common import U64, KeyBitmap, bytes_of, filter_lists, free_name, in_arrow, join_few, map_batches, mix, prefix_hashes, span_hash, text_slices, written
 
 THRESHOLD = 400
 GRAM = 128
@@ -241,7 +241,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", thr
     spark = docs.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), members // 16_000)
     cool = around.filter("not hot").select("node", "gram", "lo", "inside", "context", F.xxhash64("node", "place").alias("own")).repartition(tasks, "gram")
-    spans = cool.mapInArrow(order, "node binary, b int, e int")
+    spans = in_arrow(cool, order, "node binary, b int, e int")
 
     def explode_windows(batch: pa.RecordBatch) -> pa.RecordBatch:
         lo, inside = (batch.column(c).to_numpy().astype(np.int64) for c in ("lo", "inside"))

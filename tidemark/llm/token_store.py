@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.byte_bpe import byte_bpe
-from tidemark.llm.common import U64, mix, text_slices, texts_of, work_path
+from tidemark.llm.common import U64, in_arrow, mix, text_slices, texts_of, work_path
 
 MAGIC = b"TIDESHRD"
 END_ID = 0
@@ -149,7 +149,7 @@ def write_store(docs: DataFrame, path: str, text: str = "text", key: str = "doc_
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, bpe, number = TaskContext.get().partitionId(), byte_bpe(vocabulary), 0
-        width = 2 if max(bpe.library.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+        width = 2 if max(bpe.size, end_id + 1) <= 1 << 16 else 4
         keys: list = []
         ids: list[np.ndarray] = []
         held = 0
@@ -178,7 +178,7 @@ def write_store(docs: DataFrame, path: str, text: str = "text", key: str = "doc_
             yield flush()
 
     manifest = pa.schema([("part", pa.int32()), ("number", pa.int32()), ("path", pa.string()), ("rows", pa.int64()), ("ids", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])
-    done = ordered.mapInArrow(write, "part int, number int, path string, rows long, ids long, first long, last long")
+    done = in_arrow(ordered, write, "part int, number int, path string, rows long, ids long, first long, last long")
     shards = sorted((r.asDict() for r in done.collect()), key=lambda r: (r["part"], r["number"]))  # one row for each file of up to ``shard_tokens`` ids
     before = 0
     for s in shards:
@@ -204,7 +204,7 @@ def read_store(spark: SparkSession, shards: list[dict]) -> DataFrame:
                     crc = [zlib.crc32(ids[a - begin : b - begin].tobytes()) for a, b in spans]
                     yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([before + a for a, _ in spans], pa.int64()), pa.array([b - a for a, b in spans], pa.int64()), pa.array(crc, pa.int64())], names=["key", "start", "n_tokens", "ids_crc32"])
 
-    return table.repartition(max(1, len(shards))).mapInArrow(read, "key long, start long, n_tokens long, ids_crc32 long")
+    return in_arrow(table.repartition(max(1, len(shards))), read, "key long, start long, n_tokens long, ids_crc32 long")
 
 
 class TokenStore:
