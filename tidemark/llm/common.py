@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 SLICE_BYTES = 512 * 1024
+BATCH_ROWS_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
 def public_vocabulary(name: str) -> str:
@@ -99,7 +100,10 @@ def give_back() -> None:
 
 
 def in_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """``mapInArrow`` whose tasks give their memory back when they end."""
+    """``mapInArrow`` whose tasks give their memory back when they end, in batches that long texts can't make too large."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(BATCH_ROWS_CONF)) <= BATCH_ROWS:
+        conf.set(BATCH_ROWS_CONF, str(BATCH_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
