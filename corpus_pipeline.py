@@ -19,6 +19,8 @@ from tidemark.llm.suffix_dedup import remove_repeated
 
 #: A text whose language the machines doubt (a margin below zero) or that has none goes.
 MIN_LANGUAGE_SCORE = 0.5
+#: Passages of over 50 words that come again are taken out, whatever their bytes.
+PASSAGE_WORDS = 51
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,8 +49,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the bytes of windows that repeat; n_chars follows the text."""
-    out = remove_repeated(docs)
+    """All documents, without the bytes of windows of 51 words or of 400 bytes that repeat; n_chars follows the text."""
+    out = remove_repeated(docs, words=PASSAGE_WORDS)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 

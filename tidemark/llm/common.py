@@ -185,9 +185,14 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def prefix_hashes(data: np.ndarray) -> np.ndarray:
     """Polynomial hashes of all prefixes; ``span_hash`` takes those of spans from them."""
-    up, _ = powers(len(data) + 1)
-    out = np.zeros(len(data) + 1, U64)
-    np.cumsum(BYTE_VALUE[data] * up[: len(data)], out=out[1:])
+    return prefix_sums(BYTE_VALUE[data])
+
+
+def prefix_sums(values: np.ndarray) -> np.ndarray:
+    """``prefix_hashes`` of any units that have 64-bit values."""
+    up, _ = powers(len(values) + 1)
+    out = np.zeros(len(values) + 1, U64)
+    np.cumsum(values * up[: len(values)], out=out[1:])
     return out
 
 

@@ -12,8 +12,12 @@ gram, and for each place of the gram in the window, members are ordered by the w
 64-bit hash; equal neighbours are repeated windows.  Classes with more than ``hot``
 members are ordered by a Spark aggregation over their windows instead of in one task.
 
-Texts that equal another text are one node; a whole text of at least ``threshold``
-bytes with a copy is all repeated.  Nothing is collected by the driver.
+Windows of ``words`` words go the same way beside those of bytes, if asked for: their
+units are the 64-bit hashes of words, so that white space doesn't count.  A gram's
+lowest bit tells the two kinds apart.
+
+Texts that equal another text are one node; a whole text of at least one window with
+a copy is all repeated.  Nothing is collected by the driver.
 """
 
 from __future__ import annotations
@@ -26,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import U64, KeyBitmap, bytes_of, filter_lists, free_name, in_arrow, join_few, map_batches, mix, prefix_hashes, span_hash, text_slices, written
+from tidemark.llm.common import U64, KeyBitmap, bytes_of, filter_lists, free_name, in_arrow, join_few, map_batches, mix, prefix_hashes, prefix_sums, span_hash, text_slices, written
+from tidemark.llm.near_dup import words as words_of
 
 THRESHOLD = 400
 GRAM = 128
@@ -36,6 +41,11 @@ HOT = 20_000
 PLACE = 20  # bits
 
 
+def prefixes(units: np.ndarray) -> np.ndarray:
+    """Hashes of all prefixes of bytes, or of words given by their hashes."""
+    return prefix_hashes(units) if units.dtype == np.uint8 else prefix_sums(units)
+
+
 def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
     """Places of the leftmost least value of every ``width`` consecutive ones; values count by their upper bits."""
     n = len(values) - width + 1
@@ -49,7 +59,7 @@ def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, threshold: int = THRESHOLD, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
-    """Grams (hash, place) of one text that some window takes as its first digit, and spans known to be repeated.
+    """Grams (hash, place) of one text, its bytes or the hashes of its words, that some window takes as its first digit, and spans known to be repeated.
 
     In a stretch of a short period all windows equal the one a period later; its inner
     grams are left out and the stretch is returned instead.
@@ -60,7 +70,7 @@ def anchors(data: np.ndarray, threshold: int = THRESHOLD, gram: int = GRAM) -> t
     block = 1 << (PLACE - 1)
     for base in range(0, len(data) - threshold + 1, block):  # each window lies in one block
         part = data[base : base + block + threshold - 1]
-        prefix = prefix_hashes(part)
+        prefix = prefixes(part)
         starts = np.arange(len(part) - gram + 1)
         hashes = span_hash(prefix, starts, starts + gram)
         at = sliding_argmin(hashes, threshold - gram + 1)
@@ -87,15 +97,15 @@ def anchors(data: np.ndarray, threshold: int = THRESHOLD, gram: int = GRAM) -> t
     return found, at, spans
 
 
-def window_hashes(contexts: list[bytes], inside: np.ndarray, threshold: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+def window_hashes(contexts: list[bytes], inside: np.ndarray, threshold: int, gram: int, unit: type = np.uint8) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the windows around each gram, by the gram's place in the window, and which of them exist."""
     places = np.arange(threshold - gram + 1)
     out = np.zeros((len(contexts), len(places)), U64)
     real = np.zeros(out.shape, bool)
     for first in range(0, len(contexts), 512):
         part = contexts[first : first + 512]
-        sizes = np.array([len(c) for c in part], np.int64)
-        prefix = prefix_hashes(np.frombuffer(b"".join(part), np.uint8))
+        sizes = np.array([len(c) for c in part], np.int64) // np.dtype(unit).itemsize
+        prefix = prefixes(np.frombuffer(b"".join(part), unit))
         begin = inside[first : first + 512, None] - places
         ok = (begin >= 0) & (begin + threshold <= sizes[:, None])
         lo = (begin + np.r_[0, np.cumsum(sizes)[:-1]][:, None])[ok]
@@ -132,8 +142,8 @@ def remove_spans(data: bytes, begin: np.ndarray, end: np.ndarray) -> bytes:
     return b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
 
 
-def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: int = THRESHOLD, gram: int = GRAM, hot: int = HOT):
-    """What the removal takes away, by text.
+def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: int = THRESHOLD, gram: int = GRAM, hot: int = HOT, words: int = 0):
+    """What the removal takes away, by text: windows of ``threshold`` bytes and, above zero, those of ``words`` words.
 
     Returns two tables.  ``rows``: key, node (SHA-256 of the text; a null text is
     empty) and n_bytes of every row.  ``changes``: node, the maximal removed runs
@@ -142,26 +152,39 @@ def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", thr
     """
     source = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
     kind = source.schema["key"].dataType.simpleString()
+    # by a gram's lowest bit: units of a window and of its gram, type of a unit
+    kinds = [(threshold, gram, np.uint8)] + ([(words, max(1, words // 3), U64)] if words else [])
 
     def digits(batch: pa.RecordBatch) -> pa.RecordBatch:
-        nodes, sizes, grams, places, sure = [], [], [], [], []
+        nodes, sizes, whole, grams, places, sure = [], [], [], [], [], []
         for begin, end in text_slices(batch, "t"):
             data, offsets = bytes_of(batch, "t", begin, end)
-            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            if words:
+                named, doc, first, last = words_of(data, offsets, lower=False)
+                stops = np.searchsorted(doc, np.arange(len(offsets)))
+            for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
                 one = data[a:b]
                 found, at, spans = anchors(one, threshold, gram)
+                found &= ~U64(1)
+                whole.append(b - a >= threshold)
+                if words and stops[i + 1] - stops[i] >= words:
+                    mine = slice(stops[i], stops[i + 1])
+                    more, where, runs = anchors(named[mine], words, kinds[1][1])
+                    found, at = np.r_[found, more | U64(1)], np.r_[at, where]
+                    spans = spans + [(int(first[mine][x]) - a, int(last[mine][y - 1]) - a) for x, y in runs]
+                    whole[-1] = True
                 nodes.append(hashlib.sha256(one).digest())
                 sizes.append(b - a)
                 grams.append(found.view(np.int64))
                 places.append(at.astype(np.int32))
                 sure.append([x for s in spans for x in s])
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(grams, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32())), pa.array(sure, pa.list_(pa.int32()))],
-            names=["key", "node", "n_bytes", "grams", "places", "sure"],
+            [batch.column(0), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(whole, pa.bool_()), pa.array(grams, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32())), pa.array(sure, pa.list_(pa.int32()))],
+            names=["key", "node", "n_bytes", "whole", "grams", "places", "sure"],
         )
 
-    facts = written(map_batches(source, digits, f"key {kind}, node binary, n_bytes long, grams array<long>, places array<int>, sure array<int>"), "suffix-digits")
-    windows = facts.filter(F.col("n_bytes") >= threshold)
+    facts = written(map_batches(source, digits, f"key {kind}, node binary, n_bytes long, whole boolean, grams array<long>, places array<int>, sure array<int>"), "suffix-digits")
+    windows = facts.filter("whole")
     # one row stands for all copies of a text
     nodes = written(windows.groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("key").alias("key"), F.max("n_bytes").alias("n_bytes")), "suffix-nodes")
     first = nodes.select(F.col("node").alias("n1"), F.col("key").alias("first"))
@@ -207,13 +230,15 @@ def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", thr
 
         out: list[list] = [[], [], [], [], [], [], []]
         for row in batch.to_pylist():
-            data = zstandard.decompress(row["z"])
+            data = np.frombuffer(zstandard.decompress(row["z"]), np.uint8)
+            units = [data] + ([words_of(data, np.array([0, len(data)]), lower=False)[0]] if any(m["gram"] & 1 for m in row["at"]) else [])
             for m in row["at"]:
-                lo = max(0, m["place"] - (threshold - gram))
-                for c, v in zip(out, (row["node"], m["gram"], m["place"], lo, m["place"] - lo, m["hot"], data[lo : m["place"] + threshold]), strict=True):
+                width, part, _ = kinds[m["gram"] & 1]
+                lo = max(0, m["place"] - (width - part))
+                for c, v in zip(out, (row["node"], m["gram"], m["place"], lo, m["place"] - lo, m["hot"], units[m["gram"] & 1][lo : m["place"] + width].tobytes()), strict=True):
                     c.append(v)
-        kinds = (pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], names=["node", "gram", "place", "lo", "inside", "hot", "context"])
+        types = (pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types, strict=True)], names=["node", "gram", "place", "lo", "inside", "hot", "context"])
 
     around = map_batches(texts.filter("at is not null"), contexts, "node binary, gram long, place int, lo int, inside int, hot boolean, context binary")
 
@@ -221,9 +246,16 @@ def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", thr
         rows = [b for b in batches if b.num_rows]
         if not rows:
             return
-        table = pa.Table.from_batches(rows)
+        both = pa.Table.from_batches(rows)
+        for k in range(len(kinds)):
+            table = both.filter(pa.array(both.column("gram").to_numpy() & 1 == k))
+            if table.num_rows:
+                yield from runs_of(table, k)
+
+    def runs_of(table: pa.Table, kind_of: int) -> Iterator[pa.RecordBatch]:
+        threshold, gram, unit = kinds[kind_of]
         owner, lo, inside = (table.column(c).to_numpy().astype(np.int64) for c in ("own", "lo", "inside"))
-        hashes, real = window_hashes(table.column("context").to_pylist(), inside, threshold, gram)
+        hashes, real = window_hashes(table.column("context").to_pylist(), inside, threshold, gram, unit)
         hashes ^= mix(table.column("gram").to_numpy().view(U64))[:, None]  # equal windows have equal grams: more bits to tell others apart
         for k in range(hashes.shape[1]):
             found = np.flatnonzero(real[:, k])
@@ -236,27 +268,31 @@ def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", thr
         new = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (begin[1:] > begin[:-1] + threshold)])
         stop = begin[np.r_[new[1:] - 1, len(begin) - 1]] + threshold
         ids = pa.array(table.column("node").take(pa.array(at[new])).to_pylist(), pa.binary())
-        yield pa.RecordBatch.from_arrays([ids, pa.array(begin[new].astype(np.int32)), pa.array(stop.astype(np.int32))], names=["node", "b", "e"])
+        yield pa.RecordBatch.from_arrays([ids, pa.array(begin[new].astype(np.int32)), pa.array(stop.astype(np.int32)), pa.array(np.full(len(new), kind_of == 1))], names=["node", "b", "e", "w"])
 
     spark = docs.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), members // 16_000)
     cool = around.filter("not hot").select("node", "gram", "lo", "inside", "context", F.xxhash64("node", "place").alias("own")).repartition(tasks, "gram")
-    spans = in_arrow(cool, order, "node binary, b int, e int")
+    spans = in_arrow(cool, order, "node binary, b int, e int, w boolean")
 
     def explode_windows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lo, inside = (batch.column(c).to_numpy().astype(np.int64) for c in ("lo", "inside"))
-        hashes, real = window_hashes(batch.column("context").to_pylist(), inside, threshold, gram)
-        hashes ^= mix(batch.column("gram").to_numpy().view(U64))[:, None]
-        at, k = np.nonzero(real)
-        begin = lo[at] + inside[at] - k
-        return pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(at)), pa.array(hashes[at, k].view(np.int64)), pa.array(begin.astype(np.int32))], names=["node", "h", "b"])
+        out = []
+        for kind_of, (threshold, gram, unit) in enumerate(kinds):
+            part = batch.filter(pa.array(batch.column(1).to_numpy() & 1 == kind_of))
+            lo, inside = (part.column(c).to_numpy().astype(np.int64) for c in ("lo", "inside"))
+            hashes, real = window_hashes(part.column("context").to_pylist(), inside, threshold, gram, unit)
+            hashes ^= mix(part.column("gram").to_numpy().view(U64))[:, None]
+            at, k = np.nonzero(real)
+            begin = (lo[at] + inside[at] - k).astype(np.int32)
+            out.append(pa.RecordBatch.from_arrays([part.column("node").take(pa.array(at)), pa.array(hashes[at, k].view(np.int64)), pa.array(begin), pa.array(begin + np.int32(threshold)), pa.array(np.full(len(at), kind_of == 1))], names=["node", "h", "b", "e", "w"]))
+        return pa.Table.from_batches(out).combine_chunks().to_batches()[0] if any(x.num_rows for x in out) else out[0]
 
     if not classes.filter("hot").isEmpty():
-        warm = written(map_batches(around.filter("hot").select("node", "gram", "lo", "inside", "context"), explode_windows, "node binary, h long, b int"), "suffix-hot")
+        warm = written(map_batches(around.filter("hot").select("node", "gram", "lo", "inside", "context"), explode_windows, "node binary, h long, b int, e int, w boolean"), "suffix-hot")
         own = F.xxhash64("node", "b")
         twice = written(warm.groupBy("h").agg(F.min(own).alias("lo"), F.max(own).alias("hi")).filter("lo <> hi").select("h"), "suffix-hot-twice")
-        spans = spans.union(warm.join(twice, "h").select("node", "b", (F.col("b") + threshold).alias("e")))
-    every = spans.groupBy("node").agg(F.collect_list(F.struct("b", "e")).alias("found")).withColumnRenamed("node", "n2")
+        spans = spans.union(warm.join(twice, "h").select("node", "b", "e", "w"))
+    every = spans.groupBy("node").agg(F.collect_list(F.struct("b", "e", "w")).alias("found")).withColumnRenamed("node", "n2")
     lone = nodes.filter("copies = 1").select(F.col("node").alias("n3"))
     joined = texts.select("node", "z", "sure").join(every, F.col("node") == F.col("n2"), "left").filter("found is not null or sure is not null")
     joined = joined.join(lone, F.col("node") == F.col("n3"), "left_semi").select("node", "z", "sure", "found").dropDuplicates(["node"])
@@ -266,13 +302,17 @@ def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", thr
 
         begins, ends, rest = [], [], []
         for row in batch.to_pylist():
-            flat = row["sure"] or []
-            b = np.array([*flat[::2], *(x["b"] for x in row["found"] or [])], np.int64)
-            e = np.array([*flat[1::2], *(x["e"] for x in row["found"] or [])], np.int64)
+            flat, found, data = row["sure"] or [], row["found"] or [], zstandard.decompress(row["z"])
+            b = np.array([*flat[::2], *(x["b"] for x in found if not x["w"])], np.int64)
+            e = np.array([*flat[1::2], *(x["e"] for x in found if not x["w"])], np.int64)
+            if any(x["w"] for x in found):
+                _, _, first, last = words_of(np.frombuffer(data, np.uint8), np.array([0, len(data)]), lower=False)
+                b = np.r_[b, first[[x["b"] for x in found if x["w"]]]]
+                e = np.r_[e, last[[x["e"] - 1 for x in found if x["w"]]]]
             b, e = merged(b, e)
             begins.append(b.astype(np.int32))
             ends.append(e.astype(np.int32))
-            rest.append(remove_spans(zstandard.decompress(row["z"]), b, e))
+            rest.append(remove_spans(data, b, e))
         return pa.RecordBatch.from_arrays([batch.column("node"), pa.array(begins, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array(rest, pa.binary())], names=["node", "begins", "ends", "rest"])
 
     changes = map_batches(joined, cut, "node binary, begins array<int>, ends array<int>, rest binary")
