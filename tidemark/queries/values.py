@@ -49,7 +49,7 @@ FROM part
 
 def regex_cleanup(spark, d):
     doc = table(spark, d, "documents")
-    t = F.substr("text", F.lit(1), F.lit(200))
+    t = F.col("text")
     return doc.select(
         "doc_id",
         text.replace_pattern(t, "[^A-Za-z0-9 ]+", "").alias("plain"),
