@@ -6,7 +6,6 @@ import atexit
 import ctypes
 import os
 import shutil
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -34,20 +33,16 @@ def public_vocabulary(name: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, else one in the warehouse.
 
-    Only a session without that setting and with a local master (tests) gets a
-    temporary folder; on a cluster the warehouse is the fallback.
+    With a local master the one in the warehouse goes when the driver ends.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found
+    found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_tidemark-{uuid.uuid4().hex}"
     if spark.sparkContext.master.startswith("local"):
-        path = tempfile.mkdtemp(prefix="tidemark-")
-        atexit.register(shutil.rmtree, path, True)
-        found = f"file://{path}"
-    else:
-        found = os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_tidemark")
+        atexit.register(shutil.rmtree, found.removeprefix("file:"), True)
     spark.conf.set("spark.checkpoint.dir", found)
     return found
 
@@ -87,6 +82,17 @@ def free_name(df: DataFrame, stem: str) -> str:
     return name
 
 
+def others(df: DataFrame, names, keep: list[str] | None = None) -> list[str]:
+    """Columns of ``df`` (or of ``keep``) that don't clash with ``names`` in any case: those named like a result give way."""
+    taken = {n.lower() for n in names}
+    return [c for c in (df.columns if keep is None else keep) if c.lower() not in taken]
+
+
+def column_of(df: DataFrame, name: str) -> str | None:
+    """The column that ``name`` means, in any case; None if there is none."""
+    return next((c for c in df.columns if c == name), next((c for c in df.columns if c.lower() == name.lower()), None))
+
+
 # ---------------------------------------------------------------- Arrow
 
 
@@ -204,23 +210,31 @@ def span_hash(prefix: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndar
 
 # ---------------------------------------------------------------- semi-join reduction
 
-BITMAP_BITS = 1 << 26
+BITS_A_KEY = 16
+MOST_BITS = 1 << 30
+
+
+def bitmap_bits(n: int) -> int:
+    """Bits of a bitmap for ``n`` keys: sixteen a key, so that one foreign key in sixteen passes, up to 128 MB."""
+    return min(MOST_BITS, max(1 << 12, 1 << (BITS_A_KEY * max(1, n) - 1).bit_length()))
 
 
-def bitmap_words(keys: DataFrame, column: str, bits: int = BITMAP_BITS) -> DataFrame:
+def bitmap_words(keys: DataFrame, column: str, bits: int) -> DataFrame:
     """(w, b): the words of the bitmap of a column of hashes that have a bit set."""
     words = keys.selectExpr(f"cast(shiftright(`{column}` & {bits - 1}L, 6) as int) AS w", f"shiftleft(1L, cast(`{column}` & 63L as int)) AS b")
     return words.groupBy("w").agg(F.bit_or("b").alias("b"))
 
 
 class KeyBitmap:
-    """Which hashes may be among some keys: a bitmap of fixed size (8 MB), whatever the number of keys.
+    """Which hashes may be among the keys of a written table: a bitmap sized by their number.
 
-    It never misses a key; it lets some others through, more of them the more keys there
-    are.  So it is only put before an exact join, to keep rows out of its shuffle.
+    It never misses a key; it lets some others through, more of them when the keys are so
+    many that its greatest size is reached.  So it is only put before an exact join, to
+    keep rows out of its shuffle.
     """
 
-    def __init__(self, keys: DataFrame, column: str, bits: int = BITMAP_BITS):
+    def __init__(self, keys: DataFrame, column: str):
+        bits = bitmap_bits(keys.count())
         self.mask = bits - 1
         found = bitmap_words(keys, column, bits).toArrow()  # at most bits / 64 rows
         bitmap = np.zeros(bits // 64, U64)
@@ -232,14 +246,15 @@ class KeyBitmap:
         return (self.shared.value[(at >> U64(6)).astype(np.int64)] >> (at & U64(63))) & U64(1) == 1
 
 
-def join_few(docs: DataFrame, own: Column, few: DataFrame, key: str, bits: int = BITMAP_BITS) -> DataFrame:
+def join_few(docs: DataFrame, own: Column, few: DataFrame, key: str) -> DataFrame:
     """``docs`` left-joined with the rows of a written table that few of them match, by null-safe equality.
 
     Rows that a bitmap of the table's keys leaves out stay where they are, with nulls; only
     the others are shuffled for the exact join.  Keys are unique; the bitmap's words, at
-    most ``bits / 64`` rows, are broadcast.
+    most ``MOST_BITS / 64`` rows, are broadcast.
     """
     mine, h, w, b = (free_name(docs, n) for n in ("own__", "hash__", "word__", "bits__"))
+    bits = bitmap_bits(few.count())
     words = bitmap_words(few.select(F.xxhash64(key).alias("k")), "k", bits).select(F.col("w").alias(w), F.col("b").alias(b))
     marked = docs.withColumn(mine, own).withColumn(h, F.xxhash64(mine))
     marked = marked.join(F.broadcast(words), F.expr(f"cast(shiftright({h} & {bits - 1}L, 6) as int) = {w}"), "left")

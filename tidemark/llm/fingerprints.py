@@ -2,8 +2,9 @@
 
 Every window of ``WINDOW`` bytes has a rarity, its Shannon entropy from local byte
 counts, ranked against how common such entropies are.  A window is a feature when it
-is the leftmost rarest among its ``2 * REACH + 1`` neighbours; constant stretches are
-no features.  A feature sets ``HASHES`` bits of a Bloom filter of ``BITS`` bits; after
+is the leftmost rarest among its ``2 * REACH + 1`` neighbours, so that a text of one
+repeated byte or of a short period has one feature.  A text shorter than a window is one
+feature; the empty text alone has none.  A feature sets ``HASHES`` bits of a Bloom filter of ``BITS`` bits; after
 ``FULL`` features the next filter of the chain begins.  Two fingerprints are compared
 filter by filter: the bits in common beyond those expected by chance, as a share of the
 most that there could be, averaged over the filters of the shorter chain.
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SLICE_BYTES, U64, free_name, in_arrow, mix, text_slices, texts_of
+from tidemark.llm.common import SLICE_BYTES, U64, free_name, in_arrow, mix, others, text_slices, texts_of
 
 WINDOW, REACH = 64, 24
 BITS, HASHES, FULL = 2048, 5, 160
@@ -31,7 +32,6 @@ BLOCK = 1 << 16
 _count = np.arange(WINDOW + 1, dtype=np.float64)
 _gain = np.zeros(WINDOW + 1, np.int32)  # what the n-th equal byte adds to sum(c * log2 c), in fixed point
 _gain[1:] = np.round(np.diff(_count * np.log2(np.maximum(_count, 1))) * 4096)
-CONSTANT = int(_gain[1:].sum())  # a window of one repeated byte
 
 
 def entropies(data: np.ndarray) -> np.ndarray:
@@ -81,7 +81,7 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         pad = np.full(REACH, top)
         least = run_min(np.concatenate([pad, rank, pad]), REACH)
         n = len(rank)
-        best = (rank < least[:n]) & (rank <= np.minimum(rank, least[REACH + 1 : REACH + 1 + n])) & whole & (level < CONSTANT)
+        best = (rank < least[:n]) & (rank <= np.minimum(rank, least[REACH + 1 : REACH + 1 + n])) & whole
         at = np.flatnonzero(best & (first >= base) & (first < base + BLOCK))
         rows = np.lib.stride_tricks.sliding_window_view(part, WINDOW)[at]
         words = np.ascontiguousarray(rows).view("<u8").reshape(-1, WINDOW // 8)
@@ -151,10 +151,10 @@ def parsed(fingerprint: str) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerprint") -> DataFrame:
-    """``docs`` with the fingerprint of ``text`` (null: as empty); no shuffle."""
-    kept = docs.drop(out)
-    inner = free_name(kept, "t__")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
+    """``docs`` with the fingerprint of ``text`` (null: as empty); a column named like it gives way; no shuffle."""
+    inner = free_name(docs, "t__")
+    kept = docs.withColumn(inner, F.col(f"`{text}`")).select(*[F.col(f"`{c}`") for c in [*others(docs, [out]), inner]])
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,7 +163,7 @@ def fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerprint")
                 found += [shown(c) for c in digests([t.encode("utf-8", "surrogatepass") for t in texts_of(batch, inner, begin, end)])]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.string())], names=[*batch.schema.names[:-1], out])
 
-    return in_arrow(kept.withColumn(inner, F.col(f"`{text}`")), run, f"{fields}, `{out}` string")
+    return in_arrow(kept, run, f"{fields}`{out}` string")
 
 
 def edited(text: str, following: str) -> str:
@@ -175,17 +175,18 @@ def edited(text: str, following: str) -> str:
 def compare_with_next(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Fingerprints of every text and of its edited form, with the likeness to it and to the next text.
 
-    Next: ascending key (null keys first, equal keys by text), after the last the first.
-    Keys are dealt out by range; each range's first row is also sent to the range before
-    it, so a streaming pass over a sorted partition sees all neighbours.  The driver
-    learns one number per range.
+    Next: ascending key (null keys first, equal keys by the text's SHA-256), after the
+    last the first; a table of one row is its own next, an empty table gives an empty one.
+    A null text is empty.  Keys are whole numbers.  Rows are dealt out by ranges of key and
+    digest, so that a key that many rows share (or null) is split; each range's first row is
+    also sent to the range before it, and a streaming pass over a sorted partition sees
+    all neighbours.  The driver learns one row per range.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # range bounds: quantiles need not be exact, only the same for all rows
-    cuts = sorted(set(source.select("key").na.drop().approxQuantile("key", [i / parts for i in range(1, parts)], 0.25 / parts))) if parts > 1 else []
-    part = _bucket(F.col("key"), [int(c) for c in cuts])
+    cuts = _cuts(source, parts)
+    part = _bucket(F.col("key"), F.conv(F.substr(F.sha2("t", 256), F.lit(1), F.lit(8)), 16, 10).cast("long"), cuts)
     placed = source.select("key", "t", part.alias("part"))
     order = F.struct(F.col("key").isNotNull().alias("k"), F.col("key").alias("v"), F.sha2("t", 256).alias("s"))
     firsts = placed.groupBy("part").agg(F.min(order).alias("first")).select("part", "first.*").collect()  # a row for each range
@@ -243,17 +244,43 @@ def compare_with_next(docs: DataFrame, text: str = "text", key: str = "doc_id")
 _SCHEMA = "key long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def _bucket(c, cuts: list[int]):
-    """Number of cuts at or below the value, by binary search; null is 0."""
+def _cuts(source: DataFrame, parts: int) -> list[tuple[int | None, int]]:
+    """Bounds (key, first 32 bits of the digest) of about equal ranges; null keys come first.
+
+    Quantiles need not be exact, only the same for all rows.  A key that is several
+    quantiles holds so many shares of the rows and is cut by digest.
+    """
+    if parts < 2:
+        return []
+    rows, keyed = source.agg(F.count(F.lit(1)), F.count("key")).first()
+    if not rows:
+        return []
+    nulls = round(parts * (rows - keyed) / rows)
+    left = max(1, parts - nulls)
+    found = [int(c) for c in source.select("key").na.drop().approxQuantile("key", [i / left for i in range(1, left)], 0.25 / left)] if keyed and left > 1 else []
+    out: list[tuple[int | None, int]] = [(None, (i << 32) // max(1, nulls)) for i in range(1, nulls)]
+    if keyed and nulls:
+        out.append((-(1 << 63), 0))
+    for k in sorted(set(found)):
+        times = found.count(k)
+        out += [(k, (i << 32) // times) for i in range(times)]
+    return out
+
+
+def _bucket(key, digest, cuts: list[tuple[int | None, int]]):
+    """Number of cuts at or below (key, digest), by binary search."""
 
     def search(lo: int, hi: int):
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi) // 2
-        return F.when(c >= cuts[mid], search(mid + 1, hi)).otherwise(search(lo, mid))
+        k, d = cuts[mid]
+        above = key.isNotNull() | (digest >= d) if k is None else F.coalesce((key > k) | ((key == k) & (digest >= d)) if d else key >= k, F.lit(False))
+        return F.when(above, search(mid + 1, hi)).otherwise(search(lo, mid))
 
-    return F.when(c.isNull(), F.lit(0)).otherwise(search(0, len(cuts)))
+    return search(0, len(cuts))
 
 
 def op9_fingerprints(docs: DataFrame) -> DataFrame:
+    """Fingerprints of every text and its edited form and their likeness, as ``compare_with_next`` gives them."""
     return compare_with_next(docs).withColumnRenamed("key", "doc_id")

@@ -3,9 +3,10 @@
 Texts are hashed bags of byte 2-, 3- and 4-grams.  Linear support vector machines
 (squared hinge) tell each pair of families apart, and one-versus-one machines each
 pair of languages inside a family; a level's winner is the class with the most
-won duels, then the larger sum of margins.  Training sees a bounded sample of labelled
-rows (``max_rows``, shared evenly by the languages and picked by a hash of the key);
-prediction sees the text only.
+won duels, then the larger sum of margins.  Training sees whole texts of a bounded sample
+of labelled rows (``max_rows``, shared evenly by the languages and picked by a hash of
+the key); their bags are made on the executors, so the driver gets rows of one width.
+Prediction sees the text only.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import free_name, in_arrow, text_slices, texts_of
+from tidemark.llm.common import free_name, in_arrow, others, text_slices, texts_of
 
 #: Branches of the languages' family tree, by ISO 639-1 code.
 FAMILIES = {
@@ -141,11 +142,12 @@ class Duels:
 class LanguageModel:
     """Machines between families, then inside each."""
 
-    def __init__(self, texts: list[str], langs: list[str]):
+    def __init__(self, x: np.ndarray, langs: list[str]):
+        """Learn from rows of ``bags`` and their languages."""
         self.known = sorted(set(langs))
         if not self.known:
             return
-        x, labels = bags(texts), np.array(langs, object)
+        labels = np.array(langs, object)
         families = np.array([family_of(v) for v in langs], object)
         self.families = Duels(sorted(set(families)), x, families)
         self.inside = {f: Duels(sorted(set(labels[families == f])), x[families == f], labels[families == f]) for f in self.families.names}
@@ -169,28 +171,43 @@ class LanguageModel:
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", max_rows: int = 4000) -> LanguageModel:
-    """Learn from rows with a label; at most ``max_rows`` of them reach the driver, as many of each language as of another."""
-    rows = docs.select(F.col(f"`{text}`").alias("t"), F.col(f"`{lang}`").alias("v"), F.xxhash64(F.col(f"`{key}`").cast("string")).alias("h")).filter("v is not null and t is not null")
+    """Learn from rows with a label; the bags of at most ``max_rows`` of them reach the driver, as many of each language as of another.
+
+    Null texts, texts without a letter and null languages teach nothing; an empty table
+    gives a model that knows no language.
+    """
+    rows = docs.select(F.col(f"`{text}`").alias("t"), F.col(f"`{lang}`").cast("string").alias("v"), F.xxhash64(F.col(f"`{key}`").cast("string")).alias("h"))
+    rows = rows.filter(F.col("v").isNotNull() & F.col("t").rlike(r"\p{L}"))
     counts = {r["v"]: r["n"] for r in rows.groupBy("v").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row for each language
     if not counts:
-        return LanguageModel([], [])
+        return LanguageModel(np.zeros((0, DIMENSIONS), np.float32), [])
     each = max(1, max_rows // len(counts))
     # a first cut by hash leaves about twice as many, so that the exact one moves few texts
     share = F.create_map(*[F.lit(x) for v, n in counts.items() for x in (v, min(1.0, 2 * each / n + 20 / n))])
     some = rows.filter(F.pmod("h", F.lit(1 << 20)) < F.try_element_at(share, F.col("v")) * (1 << 20))
     exact = some.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("h", "t"))).filter(F.col("r") <= each)
-    # training texts are bounded in number; long ones are thinned to evenly spaced lines of about 4 KB in total
-    sample = sorted((r["v"], r["h"], r["t"]) for r in exact.select("v", "h", F.expr("case when length(t) <= 4096 then t else concat_ws(' ', transform(sequence(0, 7), i -> substring(t, 1 + cast(i * (length(t) - 512) / 7 as int), 512))) end").alias("t")).collect())
-    return LanguageModel([s[2] for s in sample], [s[0] for s in sample])
+
+    def bagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin, end in text_slices(batch, "t"):
+                x = bags(texts_of(batch, "t", begin, end))
+                own = batch.slice(begin, end - begin)
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array([r.tobytes() for r in x], pa.binary())], names=["v", "h", "bag"])
+
+    found = in_arrow(exact.select("v", "h", "t"), bagged, "v string, h long, bag binary").collect()
+    sample = sorted((r["v"], r["h"], bytes(r["bag"])) for r in found)
+    x = np.frombuffer(b"".join(s[2] for s in sample), np.float32).reshape(-1, DIMENSIONS)
+    return LanguageModel(x, [s[0] for s in sample])
 
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: list[str] | None = None, out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """``docs`` (its columns ``keep``, all by default) with the predicted language and a score from 0 to 1.
 
     A null text or one without a letter is ``und`` with score 0, and so is every text
-    if nothing was learned.  Columns named like the results give way.
+    if nothing was learned.  Columns named like the results, in any case, give way.
+    Repeated rows stay repeated; an empty table gives an empty one.
     """
-    given = [c for c in (docs.columns if keep is None else keep) if c not in out]
+    given = others(docs, out, keep)
     inner = free_name(docs, "t__")
     rows = docs.select(*[F.col(f"`{c}`") for c in given], F.col(f"`{text}`").alias(inner))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
@@ -212,5 +229,3 @@ def op6_language_id(docs: DataFrame) -> DataFrame:
     marked = docs.withColumn("held_out", F.coalesce(held, F.lit(False)))
     model = train(marked.filter("not held_out"))
     return identify(marked, model, keep=["doc_id", "held_out"])
-
-

@@ -96,7 +96,7 @@ def codec(path: str) -> PieceCodec:
 
 
 def _mapped(docs: DataFrame, column: str, keep: list[str] | None, names: list[str], kinds: list[pa.DataType], schema: str, fn) -> DataFrame:
-    given = [c for c in (docs.columns if keep is None else keep) if c not in names]
+    given = others(docs, names, keep)
     inner = free_name(docs, "t__")
     rows = docs.select(*[F.col(f"`{c}`") for c in given], F.col(f"`{column}`").alias(inner))
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import free_name, map_batches, public_vocabulary, text_slices, texts_of
+from tidemark.llm.common import free_name, map_batches, others, public_vocabulary, text_slices, texts_of
 from tidemark.llm.word_bpe import WordBpeCounter
 
 _counters: dict[str, WordBpeCounter] = {}
@@ -33,7 +33,7 @@ def token_counts(
     chunks of the byte stream run side by side and their state maps and counts compose
     by prefix sums.
     """
-    given = [c for c in (docs.columns if keep is None else keep) if c.lower() != out.lower()]
+    given = others(docs, [out], keep)
     inner = free_name(docs, "t__")
     rows = docs.select(*[F.col(f"`{c}`") for c in given], F.col(f"`{text}`").alias(inner))
     path = public_vocabulary(vocabulary)

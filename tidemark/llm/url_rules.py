@@ -1,29 +1,36 @@
 """Operator 1, URL filters by association rules, in DataFrame functions only.
 
 URLs with a label are baskets of tokens (scheme, host suffixes, path words, file type,
-query keys, fragment) with the label as one more item.  FP-growth finds the frequent
-combinations; rules from tokens to a label are kept if their support and confidence
-reach the minima and no rule on fewer tokens is as confident.  The rules become an
-inverted index from tokens to rules.  A URL's tokens look their rules up and a
-rule matches when all of its tokens did; the most confident match decides.  Scoring is
-one narrow projection: no shuffle, no join, no Python.
-
-How many rules there can be is bounded by the minimum support and the tokens of a
-basket (at most ``BASKET`` in mining; matching sees all tokens), not by the number of
-URLs; so the index is a literal of the plan.
+query keys, fragment).  FP-growth finds the combinations that are frequent among the
+allowed URLs and those that are frequent among the blocked ones, each by its own number
+of URLs, so that the rarer label loses none.  Every combination's frequency among the
+URLs of the other label is counted exactly.  Rules from tokens to a label are kept if
+their support and confidence reach the minima and no rule on fewer tokens is as
+confident.  The rules become an inverted index from tokens to rules.  A URL's tokens
+look their rules up and a rule matches when all of its tokens did; the most confident
+match decides.  Scoring is one narrow projection: no shuffle, no join, no Python.
+
+Before mining, tokens below the minimum support and tokens of every URL are left out (no
+rule with them says more than one without), and tokens that always come together
+count as one; nothing else bounds a basket or the length of a rule.  How many rules there
+can be is bounded by the minimum support, not by the number of URLs; so the index is
+a literal of the plan.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import column_of, free_name, others, written
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Fixed rules: (verdict, host, path).
 HOST_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
-BASKET = 16
-LABEL = "label="
+VERDICTS = ("allow", "block")
 
 
 def let(value: Column, body) -> Column:
@@ -81,40 +88,72 @@ def mine_rules(labelled: DataFrame, url: str = "url", label: str = "verdict", mi
 
     Blocked URLs are rare; both labels count with equal total weight in a rule's
     confidence, so that a combination blocks when it is clearly commoner among blocked
-    URLs.  At most ``max_rows`` labelled rows are mined, picked by a hash of the URL.
+    URLs.  ``min_support`` is a share of one label's URLs.  At most ``max_rows`` labelled
+    rows are mined, picked by a hash of the URL.  Null URLs and other labels teach nothing;
+    without both labels there is no rule.
     """
-    rows = labelled.filter(F.col(label).isin("allow", "block") & F.col(url).isNotNull())
-    rows = rows.orderBy(F.xxhash64(url), url, label).limit(max_rows)
-    baskets = rows.select(F.slice(url_tokens(F.col(url)), 1, BASKET).alias("tokens"), F.col(label).alias("v")).cache()
-    totals = {r["v"]: r["n"] for r in baskets.groupBy("v").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = labelled.filter(F.col(label).isin(*VERDICTS) & F.col(url).isNotNull()).select(F.col(url).alias("u"), F.col(label).alias("v"))
+    rows = rows.orderBy(F.xxhash64("u"), "u", "v").limit(max_rows)
+    baskets = written(rows.select(F.xxhash64("u", "v", F.monotonically_increasing_id()).alias("row"), url_tokens(F.col("u")).alias("tokens"), "v"), "url-baskets")
+    totals = {r["v"]: r["n"] for r in baskets.groupBy("v").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
     if len(totals) < 2:
-        baskets.unpersist()
         return []
-    items = baskets.select(F.concat("tokens", F.array(F.concat(F.lit(LABEL), F.col("v")))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=0.0).fit(items)
-    sets = model.freqItemsets.withColumn("n", F.col("freq"))
+    least = {v: max(1, math.ceil(min_support * totals[v])) for v in VERDICTS}
+    per = F.create_map(*[F.lit(x) for v in VERDICTS for x in (v, least[v])])
+    # tokens that are frequent with a label and not everywhere; those of the same rows have equal sums
+    single = baskets.select("row", "v", F.explode("tokens").alias("token"))
+    of_token = single.groupBy("token", "v").agg(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(row)").alias("x"), F.expr("bit_xor(xxhash64(row))").alias("y"))
+    of_token = of_token.groupBy("token").agg(F.max(F.col("n") >= per[F.col("v")]).alias("frequent"), F.sum("n").alias("n"), F.expr("bit_xor(x)").alias("x"), F.expr("bit_xor(y)").alias("y"))
+    useful = of_token.filter("frequent").filter(F.col("n") < sum(totals.values())).groupBy("n", "x", "y").agg(F.min("token").alias("token"))
+    known = sorted(r["token"] for r in useful.select("token").collect())  # bounded by the minimum support
+    if not known:
+        return []
+    few = F.array_intersect("tokens", F.array(*map(F.lit, known)))
+    small = written(baskets.select("row", "v", F.array_sort(few).alias("tokens")), "url-tokens")
+    counted: dict[tuple[str, ...], dict[str, int]] = {}
+    for v in VERDICTS:
+        own = small.filter((F.col("v") == v) & (F.size("tokens") > 0)).select("tokens")
+        share = (least[v] - 0.5) / max(1, own.count())
+        sets = FPGrowth(itemsCol="tokens", minSupport=min(1.0, share), minConfidence=1.0).fit(own).freqItemsets
+        for r in sets.collect():  # bounded by the minimum support
+            counted.setdefault(tuple(sorted(r["items"])), {})[v] = r["freq"]
+    for v in VERDICTS:
+        missing = [(i, list(t)) for i, t in enumerate(counted) if v not in counted[t]]
+        names = list(counted)
+        for r in _count_sets(small.filter(F.col("v") == v), missing).collect():  # a row for each combination at most
+            counted[names[r["id"]]][v] = r["n"]
+    found = []
     n = sum(totals.values())
-    # a combination with each label: its frequency among that label's rows
-    named = sets.withColumn("v", F.element_at(F.concat(F.transform(F.filter("items", lambda x: x.startswith(LABEL)), lambda x: F.substr(x, F.lit(len(LABEL) + 1))), F.array(F.lit(""))), 1))
-    named = named.withColumn("tokens", F.array_sort(F.filter("items", lambda x: ~x.startswith(LABEL)))).filter((F.size("tokens") > 0) & (F.size("tokens") <= 3))
-    wide = named.groupBy("tokens").agg(*[F.coalesce(F.max(F.when(F.col("v") == v, F.col("n"))), F.lit(0)).alias(v) for v in ("allow", "block")], F.max(F.when(F.col("v") == "", F.col("n"))).alias("n"))
-    # what is not frequent with a label is at most the rest
-    wide = wide.withColumn("allow", F.when(F.col("allow") == 0, F.greatest(F.col("n") - F.col("block"), F.lit(0))).otherwise(F.col("allow")))
-    wide = wide.withColumn("block", F.when(F.col("block") == 0, F.greatest(F.col("n") - F.col("allow"), F.lit(0))).otherwise(F.col("block")))
-    a, b = (F.col("allow") + 1) / (totals["allow"] + 2), (F.col("block") + 1) / (totals["block"] + 2)
-    scored = wide.withColumn("verdict", F.when(b > a, F.lit("block")).otherwise(F.lit("allow"))).withColumn("confidence", F.greatest(a, b) / (a + b)).withColumn("support", F.col("n") / n)
-    # confidence of chance alone is one half; two deviations above it are asked for
-    scored = scored.filter(F.col("confidence") >= F.greatest(F.lit(min_confidence), 0.5 + 1 / F.sqrt(F.least(F.col("n"), F.lit(2.0) * min(totals.values())))))
-    found = [r.asDict() for r in scored.select("tokens", "verdict", "confidence", "support").collect()]  # bounded by the minimum support
-    baskets.unpersist()
+    for tokens, seen in counted.items():
+        a, b = (seen.get("allow", 0) + 1) / (totals["allow"] + 2), (seen.get("block", 0) + 1) / (totals["block"] + 2)
+        times = sum(seen.values())
+        confidence = max(a, b) / (a + b)
+        # confidence of chance alone is one half; two deviations above it are asked for
+        if confidence >= max(min_confidence, 0.5 + 1 / math.sqrt(min(times, 2 * min(totals.values())))):
+            found.append({"tokens": list(tokens), "verdict": "block" if b > a else "allow", "confidence": confidence, "support": times / n})
     found.sort(key=lambda r: (-round(r["confidence"], 9), len(r["tokens"]), -r["support"], r["tokens"]))
-    best = {(tuple(r["tokens"]), r["verdict"]): r["confidence"] for r in found}
-
-    def general(r):
+    best: dict[tuple[str, ...], dict] = {}
+    out = []
+    for r in sorted(found, key=lambda r: len(r["tokens"])):
         t = r["tokens"]
-        return any(best.get((tuple(sorted(s)), r["verdict"]), 0) >= r["confidence"] for s in [[x] for x in t] + [[x for x in t if x != y] for y in t] if 0 < len(s) < len(t))
+        below = [best[s] for y in t if (s := tuple(x for x in t if x != y)) in best]
+        top = {v: max((b[v] for b in below), default=0.0) for v in VERDICTS}
+        if r["confidence"] > top[r["verdict"]]:
+            out.append(r)
+        # the best confidence on any part of these tokens
+        best[tuple(t)] = {v: max(top[v], r["confidence"] if r["verdict"] == v else 0.0) for v in VERDICTS}
+    return sorted(out, key=lambda r: (-round(r["confidence"], 9), len(r["tokens"]), -r["support"], r["tokens"]))
 
-    return [r for r in found if not general(r)]
+
+def _count_sets(baskets: DataFrame, sets: list[tuple[int, list[str]]]) -> DataFrame:
+    """(id, n): how many baskets hold each of some combinations, none of which is frequent among them.
+
+    A combination is looked up by its first token; every other token must be there, too.
+    """
+    table = baskets.sparkSession.createDataFrame(sets, "id long, needs array<string>").withColumn("token", F.element_at("needs", 1))
+    single = baskets.select("tokens", F.explode("tokens").alias("token"))
+    hit = single.join(F.broadcast(table), "token").filter(F.size(F.array_except("needs", "tokens")) == 0)  # combinations are bounded by the minimum support
+    return hit.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
 
 
 def match_rules(tokens: Column, rules: list[dict]) -> Column:
@@ -147,29 +186,32 @@ def url_filter(pages: DataFrame, rules: list[dict], url: str = "url", host_rules
 
     Fixed host rules come first; then the first mined rule that matches; else allow.
     A null URL, or one without ``://``, has an empty host and path and is judged on
-    what tokens it has.  Columns named like the results give way; rows are never lost.
+    what tokens it has.  Columns named like the results, in any case, give way; rows are
+    never lost, repeated ones stay repeated, and an empty table gives an empty one.
     """
-    names = ("host", "path", "rule", "verdict", "confidence")
-    given = [F.col(f"`{c}`") for c in pages.columns if c not in names]
-    own = F.col(f"`{url}`")
-    rows = pages.select(*given, host_of(own).alias("host"), path_of(own).alias("path"), url_tokens(own).alias("tokens__"))
-    rows = rows.withColumn("fixed__", fixed_rule(F.col("host"), F.col("path"), host_rules)).withColumn("hit__", match_rules(F.col("tokens__"), rules))
+    given = [F.col(f"`{c}`") for c in others(pages, ("host", "path", "rule", "verdict", "confidence"))]
+    own = F.col(f"`{column_of(pages, url)}`")
+    tokens, fixed, hit = (free_name(pages, x) for x in ("tokens__", "fixed__", "hit__"))
+    rows = pages.select(*given, host_of(own).alias("host"), path_of(own).alias("path"), url_tokens(own).alias(tokens))
+    rows = rows.withColumn(fixed, fixed_rule(F.col("host"), F.col("path"), host_rules)).withColumn(hit, match_rules(F.col(tokens), rules))
     verdicts = F.array(*[F.lit(r["verdict"]) for r in rules]) if rules else F.array().cast("array<string>")
     strength = F.array(*[F.lit(float(r["confidence"])) for r in rules]) if rules else F.array().cast("array<double>")
-    mined = F.coalesce(F.get(verdicts, F.col("hit__")), F.lit("allow"))
-    out = rows.withColumn("rule", F.col("fixed__.rule")).withColumn("verdict", F.coalesce(F.col("fixed__.verdict"), mined))
-    out = out.withColumn("confidence", F.when(F.col("rule").isNull(), F.get(strength, F.col("hit__"))))
-    return out.drop("tokens__", "fixed__", "hit__")
+    mined = F.coalesce(F.get(verdicts, F.col(hit)), F.lit("allow"))
+    out = rows.withColumn("rule", F.col(f"{fixed}.rule")).withColumn("verdict", F.coalesce(F.col(f"{fixed}.verdict"), mined))
+    out = out.withColumn("confidence", F.when(F.col("rule").isNull(), F.get(strength, F.col(hit))))
+    return out.drop(tokens, fixed, hit)
 
 
 def page_labels(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """URLs with the verdict of their document's labels: the document's number is the last number of the path."""
     number = F.regexp_extract(path_of(F.col("url")), r"/([0-9]+)[^0-9/]*/?\z", 1)
+    # a page whose document has no label, or no number, teaches nothing
     numbered = pages.select("url", number.alias("n")).select("url", F.expr("try_cast(n as long)").alias("doc_id"))
     bad = labels.groupBy("doc_id").agg(F.max(F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)).alias("bad"))
     return numbered.filter("doc_id is not null").join(bad, "doc_id").select("url", F.when(F.col("bad") == 1, F.lit("block")).otherwise(F.lit("allow")).alias("verdict"))
 
 
 def op1_url_filters(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """Host, path, rule and verdict of every page, with rules mined from the labelled ones."""
     rules = mine_rules(page_labels(pages.select("url"), labels))
     return url_filter(pages.select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict", "confidence")
