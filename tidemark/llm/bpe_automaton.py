@@ -25,6 +25,8 @@ class BpeAutomaton:
     priority of two adjacent pieces, or None.
     """
 
+    START = ("", None, ())
+
     def __init__(self, pieces, alphabet, finals, rank, max_states=160_000, track=False):
         self.pieces, self.rank, self.max_states, self.track = pieces, rank, max_states, track
         self.symbols = list(alphabet) + list(finals)
@@ -40,7 +42,7 @@ class BpeAutomaton:
         self.keys: dict[tuple, int] = {}
         self.states: list[tuple] = []
         self._allocate(1 << 14)
-        self._state(("", None, ()))
+        self._state(self.START)
 
     def _allocate(self, rows):
         self.next = np.full((rows, self.width), -1, np.int32)
@@ -114,9 +116,10 @@ class BpeAutomaton:
         self.next[state, column] = target
         self.out[state, column] = self.pieces[text] if self.track else count
 
-    def run(self, symbols: np.ndarray, ends: np.ndarray, lanes: int = 2048):
-        """Tokens added at each symbol, or with ``track`` the last token there.
+    def run(self, symbols: np.ndarray, ends: np.ndarray, entry: tuple | None = None, lanes: int = 2048):
+        """Tokens added at each symbol, or with ``track`` the last token there, and the state after the last symbol.
 
+        ``entry`` is such a state, that of a stream that goes on; by default a word begins.
         ``ends`` marks the last symbol of each word.  The stream is cut into ``lanes``
         chunks.  A chunk that holds a word end maps every entry state to one exit
         state, so all chunks run side by side from their first word end; a second run
@@ -126,7 +129,7 @@ class BpeAutomaton:
         size = len(symbols)
         given = np.zeros(size, self.out.dtype)
         if not size:
-            return given
+            return given, entry or self.START
         if len(self.states) > self.max_states:
             self._reset()
         symbols = symbols.astype(np.int32) + self.n * ends.astype(np.int32)
@@ -144,15 +147,19 @@ class BpeAutomaton:
         edges = np.unique(np.linspace(0, size, min(lanes, max(1, size // 64)) + 1).astype(np.int64))
         begin, end = edges[:-1], edges[1:]
         ready = np.searchsorted(stops, begin, "left")
-        first = np.where(ready < len(stops), stops[np.minimum(ready, len(stops) - 1)], size)
+        first = np.r_[stops, size][ready]
         first[0] = 0
         whole = first < end  # the chunk has a synchronising boundary with symbols after it
         exits = np.zeros(len(begin), np.int64)
-        exits[whole] = self._lockstep(columns, first[whole], end[whole], np.zeros(whole.sum(), np.int64), given)
+        enter = np.zeros(whole.sum(), np.int64)
+        enter[:1] = self._state(entry or self.START)  # the first chunk begins where the stream stands
+        exits[whole] = self._lockstep(columns, first[whole], end[whole], enter, given)
         heads = np.flatnonzero((begin > 0) & (begin < first) & np.r_[True, whole[:-1]])
+        last = exits[-1]
         if len(heads):
-            self._lockstep(columns, begin[heads], first[heads], exits[heads - 1], given)
-        return given
+            through = self._lockstep(columns, begin[heads], first[heads], exits[heads - 1], given)
+            last = last if whole[-1] else through[-1]
+        return given, self.states[int(last)]
 
     def _lockstep(self, columns, begin, end, state, given):
         """Run the spans [begin, end) side by side from ``state``; returns their last states."""
@@ -193,6 +200,23 @@ class BpeAutomaton:
         return out
 
 
+def meeting(last: np.ndarray, state: tuple, lengths: np.ndarray) -> int:
+    """How many symbols lie before the boundary at which all paths that survive in ``state`` meet.
+
+    ``last``: the last token at every symbol since an earlier such boundary.  A path
+    survives if it ends at the head, or where a piece may have begun that goes on
+    beyond it.  The path that ends furthest on steps back by its last token until one
+    boundary is left.
+    """
+    head = len(last)
+    paths = {head, *(head - k for k, _, _ in state[2])}
+    while len(paths) > 1:
+        furthest = max(paths)
+        paths.remove(furthest)
+        paths.add(furthest - int(lengths[last[furthest - 1]]))
+    return paths.pop()
+
+
 def backtrack(last: np.ndarray, ends: np.ndarray, lengths: np.ndarray):
     """Ids of all words in order, from the last tokens at every symbol.
 

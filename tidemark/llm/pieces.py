@@ -2,10 +2,13 @@
 
 Of all segmentations of a prefix that end in a given piece only one can be part of the
 encoding: the last piece must go with the piece before it as the merges would make
-them.  The lattice therefore keeps one backpointer for each position in a window as long
-as the longest piece; ``BpeAutomaton`` holds the windows as states.  Whenever a
-word-boundary mark follows a character, no piece spans it, all surviving paths meet
-there, and the ids before it are committed by walking the backpointers back.
+them.  The lattice therefore keeps one backpointer for each position, its last piece, and a
+path survives only if it ends at the head or at a place, at most the longest piece behind
+it, from which a piece may still go on; ``BpeAutomaton`` holds these windows as states.
+Symbols are read ``SEGMENT`` at a time.  After each segment the surviving paths are walked
+back until they meet on one boundary; the ids before it are committed and their
+backpointers forgotten, so what is kept is the stretch from there to the head, inside
+words of any length.  Ids don't depend on where segments end.
 """
 
 from __future__ import annotations
@@ -18,10 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.bpe_automaton import BpeAutomaton, backtrack
-from tidemark.llm.common import free_name, in_arrow, public_vocabulary, text_slices, texts_of
+from tidemark.llm.bpe_automaton import BpeAutomaton, backtrack, meeting
+from tidemark.llm.common import free_name, in_arrow, others, public_vocabulary, text_slices, texts_of
 
 MARK = "\u2581"
+SEGMENT = 1 << 19  # symbols
 
 
 class PieceCodec:
@@ -39,8 +43,7 @@ class PieceCodec:
             if model.is_byte(i):
                 self.byte[int(self.pieces[i][3:5], 16)] = i
         plain = {p: i for i, p in enumerate(self.pieces) if not special[i] and not model.is_byte(i)}
-        if any(MARK in p.lstrip(MARK) for p in plain):
-            raise ValueError("a piece spans a word boundary")
+        self.by_word = not any(MARK in p.lstrip(MARK) for p in plain)  # no piece goes on into the next word
         score = {p: model.get_score(i) for p, i in plain.items()}
         alphabet = sorted(p for p in plain if len(p) == 1)
         self.symbol = np.full(0x110000, -1, np.int32)
@@ -50,34 +53,50 @@ class PieceCodec:
         self.lengths = np.array([max(1, len(p)) for p in self.pieces], np.int64)
         self.raw = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else b"" if special[i] else p.replace(MARK, " ").encode() for i, p in enumerate(self.pieces)]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: list[str], segment: int = SEGMENT) -> list[np.ndarray]:
         """Ids of each text, as the sentencepiece library gives them."""
         marked = [MARK + t.replace(" ", MARK) if t else "" for t in texts]
-        sizes = np.array([len(t) for t in marked], np.int64)
-        stops = np.cumsum(sizes)
-        points = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32)
-        symbol = self.symbol[points]
-        known = symbol >= 0
-        ends = np.zeros(len(points), bool)
-        mark = points == ord(MARK)
-        ends[:-1] = mark[1:] & ~mark[:-1] | ~known[1:]
-        ends[stops[sizes > 0] - 1] = True
-        ends = ends[known]  # before an unknown character a word ends, too
-        last = self.automaton.run(symbol[known], ends)
-        ids, at = backtrack(last, ends, self.lengths)
-        place = np.flatnonzero(known)[at]
-        odd = np.flatnonzero(~known)
-        if len(odd):  # byte fallback
-            more, where = [], []
-            for i in odd.tolist():
-                for b in chr(points[i]).encode("utf-8", "surrogatepass"):
-                    more.append(self.byte[b])
-                    where.append(i)
-            ids, place = np.concatenate([ids, np.array(more, ids.dtype)]), np.concatenate([place, np.array(where, place.dtype)])
-            order = np.argsort(place, kind="stable")
-            ids, place = ids[order], place[order]
-        cuts = np.searchsorted(place, stops)
-        return np.split(ids, cuts[:-1]) if len(cuts) else []
+        stops = np.cumsum([len(t) for t in marked])
+        parts = list(self._stream("".join(marked), stops, segment))
+        if not parts:
+            return [np.zeros(0, np.int32) for _ in texts]
+        ids, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return np.split(ids, np.searchsorted(place, stops)[:-1])
+
+    def _stream(self, joined: str, stops: np.ndarray, segment: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Committed ids and the place of each one's last symbol, segment by segment."""
+        held, at, state = np.zeros(0, np.int32), np.zeros(0, np.int64), None
+        for begin in range(0, len(joined), segment):
+            # one symbol more, to see whether a word ends with the segment
+            points = np.frombuffer(joined[begin : begin + segment + 1].encode("utf-32-le", "surrogatepass"), np.uint32)
+            n = min(segment, len(joined) - begin)
+            symbol = self.symbol[points]
+            known = symbol >= 0
+            ends = np.zeros(len(points), bool)
+            ends[:-1] = ~known[1:]  # before an unknown character a word ends, too
+            if self.by_word:
+                mark = points == ord(MARK)
+                ends[:-1] |= mark[1:] & ~mark[:-1]
+            over = stops[np.searchsorted(stops, begin, "right") :]
+            ends[over[over <= begin + n] - 1 - begin] = True
+            symbol, known, ends = symbol[:n], known[:n], ends[:n]
+            given, state = self.automaton.run(symbol[known], ends[known], state)
+            last = np.r_[held, given]
+            at = np.r_[at, begin + np.flatnonzero(known)]
+            meet = meeting(last, state, self.lengths)
+            stop = np.r_[np.zeros(len(held), bool), ends[known]][:meet]
+            stop[-1:] = True
+            ids, where = backtrack(last[:meet], stop, self.lengths)
+            place = at[where]
+            odd = np.flatnonzero(~known)
+            if len(odd):  # byte fallback
+                raw = [chr(points[i]).encode("utf-8", "surrogatepass") for i in odd.tolist()]
+                more = self.byte[np.frombuffer(b"".join(raw), np.uint8)]
+                ids, place = np.r_[ids, more], np.r_[place, np.repeat(begin + odd, [len(x) for x in raw])]
+                order = np.argsort(place, kind="stable")
+                ids, place = ids[order], place[order]
+            held, at = last[meet:], at[meet:]
+            yield ids, place
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: pieces joined, marks as spaces, the first one dropped; bytes that are no UTF-8 become U+FFFD."""
@@ -110,7 +129,11 @@ def _mapped(docs: DataFrame, column: str, keep: list[str] | None, names: list[st
 
 
 def encode_pieces(docs: DataFrame, text: str = "text", keep: list[str] | None = None, vocabulary: str = "piece_bpe_32k.model", out: str = "ids") -> DataFrame:
-    """``docs`` with the ids of ``text`` (null or empty: none) as an array; no shuffle."""
+    """``docs`` with the ids of ``text`` (null or empty: none) as an array; no shuffle.
+
+    Columns named like the result, in any case, give way; repeated rows stay repeated, equal
+    texts have equal ids, and an empty table gives an empty one.
+    """
     path = public_vocabulary(vocabulary)
 
     def fn(batch, inner):
@@ -123,7 +146,7 @@ def encode_pieces(docs: DataFrame, text: str = "text", keep: list[str] | None =
 
 
 def decode_pieces(rows: DataFrame, ids: str = "ids", keep: list[str] | None = None, vocabulary: str = "piece_bpe_32k.model", out: str = "decoded") -> DataFrame:
-    """``rows`` with the text of an array of ids; null ids are no ids."""
+    """``rows`` with the text of an array of ids; a null array is the empty text; other columns as in ``encode_pieces``."""
     path = public_vocabulary(vocabulary)
 
     def fn(batch, inner):
