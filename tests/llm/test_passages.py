@@ -52,10 +52,10 @@ def texts():
     return out + out[-1:]
 
 
-@pytest.mark.parametrize("hot", [20_000, 2])
-def test_windows_of_words_and_bytes(spark, texts, hot):
+@pytest.mark.parametrize("block", [1024, 2])
+def test_windows_of_words_and_bytes(spark, texts, block):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    found = {r.doc_id: r.text for r in remove_repeated(docs, words=51, hot=hot).collect()}
+    found = {r.doc_id: r.text for r in remove_repeated(docs, words=51, block=block).collect()}
     assert [found[i] for i in range(len(texts))] == cut(texts)
 
 
