@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.compare import class_counts, classified, differences, matched
-from tidemark.operators.identity import identity_key, with_group_size
+from tidemark.operators.identity import identity_key
 from tidemark.plans.compile import prepare, required_on_create
 from tidemark.plans.contracts import DatasetSpec, Plan
 from tidemark.plans.validate import topological
@@ -75,7 +75,9 @@ def preflight(plan: Plan, sources: Mapping[str, DataFrame], targets: Mapping[str
 
 def _identified(rows: DataFrame, spec: DatasetSpec) -> DataFrame:
     keyed = rows.withColumn("identity__", identity_key([F.col(f"`{k}`") for k in (*spec.identity, *spec.scope)]))
-    return with_group_size(keyed, ["identity__"], "size__")
+    # rows without an identity are in no group: plain equality leaves them out of the counts and of the join's keys
+    sizes = keyed.filter("identity__ is not null").groupBy(F.col("identity__").alias("i__")).agg(F.count(F.lit(1)).alias("size__"))
+    return keyed.join(sizes, F.col("identity__") == F.col("i__"), "left").drop("i__")
 
 
 def _related(rows: DataFrame, relation, parents: DataFrame, identity, incoming: bool) -> DataFrame:

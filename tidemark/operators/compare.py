@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.convert import values_equal
+from tidemark.plans.validate import topological
 
 CLASSES = ("CREATE", "UPDATE", "UNCHANGED", "AMBIGUOUS", "BLOCKED")
 
@@ -71,19 +72,57 @@ def resolve_references(rows: DataFrame, parents: DataFrame, keys: Mapping[str, s
 
 
 def id_to_key(rows: DataFrame, column: str, parents: DataFrame, id_column: str, keys: Sequence[str], out: str) -> DataFrame:
-    """Surrogate id to the parent's business key; an id without a parent is flagged."""
-    index = parents.select(F.col(id_column).alias("id__"), F.to_json(F.array(*[F.col(k).cast("string") for k in keys])).alias(out))
-    return rows.join(index, rows[column] == index["id__"], "left").withColumn(f"{out}_missing", rows[column].isNotNull() & F.col("id__").isNull()).drop("id__")
+    """Surrogate id to the parent's business key; an id without a parent, or with several, is flagged and has no key.
+
+    Parents are reduced to one row per id first, so rows never multiply.
+    """
+    one = F.count(F.lit(1)) == 1
+    index = parents.groupBy(F.col(id_column).alias("id__")).agg(F.when(one, F.min(F.to_json(F.array(*[F.col(k).cast("string") for k in keys])))).alias(out), (~one).alias("m__"))
+    joined = rows.join(index, rows[column] == index["id__"], "left")
+    return joined.withColumns({f"{out}_missing": rows[column].isNotNull() & F.col("id__").isNull(), f"{out}_ambiguous": F.coalesce("m__", F.lit(False))}).drop("id__", "m__")
 
 
 def ids_to_keys(rows: DataFrame, row: str, column: str, parents: DataFrame, id_column: str, key: str, out: str) -> DataFrame:
-    """Arrays of ids to sorted arrays of keys."""
+    """Arrays of ids to sorted arrays of keys; an id without one parent counts as missing."""
     long = rows.select(row, F.explode(column).alias("id__")).distinct()
-    named = long.join(parents.select(F.col(id_column).alias("id__"), F.col(key).cast("string").alias("k__")), "id__", "left")
+    index = parents.groupBy(F.col(id_column).alias("id__")).agg(F.when(F.count(F.lit(1)) == 1, F.min(F.col(key).cast("string"))).alias("k__"))
+    named = long.join(index, "id__", "left")
     grouped = named.groupBy(row).agg(F.array_sort(F.collect_set("k__")).alias(out), F.count_if(F.col("k__").isNull()).alias(f"{out}_missing"))
     return rows.join(grouped, row, "left").withColumns({out: F.coalesce(out, F.array().cast("array<string>")), f"{out}_missing": F.coalesce(f"{out}_missing", F.lit(0)).cast("long")})
 
 
+def composite_keys(tables: Mapping[str, DataFrame], parts: Mapping[str, Sequence[str | tuple[str, str]]], id_column: str = "id") -> dict[str, DataFrame]:
+    """(id, key, key_missing, key_ambiguous) of every dataset, whose business key may hold its parents' keys.
+
+    ``parts``: dataset -> components in order, an own column or (column with a parent's id,
+    parent dataset).  Parents come first, one join for each reference; a cycle raises
+    ValueError with its datasets.  A key is nested JSON; it is null where an own component
+    is, or where a parent is missing, repeated or has none.
+    """
+    edges = [(p[1], d) for d, own in parts.items() for p in own if not isinstance(p, str)]
+    loops = sorted(d for p, d in edges if p == d)
+    if loops:
+        raise ValueError(f"cycle among {', '.join(loops)}")
+    done: dict[str, DataFrame] = {}
+    for d in topological(parts, edges):
+        rows = tables[d].select(F.col(id_column).alias("id"), *[F.col(p if isinstance(p, str) else p[0]).alias(f"c{i}__") for i, p in enumerate(parts[d])])
+        missing, ambiguous, shown = F.lit(False), F.lit(False), []
+        for i, p in enumerate(parts[d]):
+            if isinstance(p, str):
+                shown.append(F.to_json(F.array(F.col(f"c{i}__").cast("string"))))
+                missing = missing | F.col(f"c{i}__").isNull()
+                continue
+            one = F.count(F.lit(1)) == 1
+            index = done[p[1]].groupBy(F.col("id").alias(f"i{i}__")).agg(F.when(one, F.min("key")).alias(f"k{i}__"), (~one | F.bool_or("key_ambiguous")).alias(f"a{i}__"))
+            rows = rows.join(index, rows[f"c{i}__"] == index[f"i{i}__"], "left")
+            shown.append(F.concat(F.lit("["), F.col(f"k{i}__"), F.lit("]")))
+            ambiguous = ambiguous | F.coalesce(f"a{i}__", F.lit(False))
+            missing = missing | F.col(f"k{i}__").isNull()
+        inner = F.concat_ws(",", *[F.substr(x, F.lit(2), F.char_length(x) - 2) for x in shown])
+        done[d] = rows.select("id", F.when(~missing & ~ambiguous, F.concat(F.lit("["), inner, F.lit("]"))).alias("key"), (missing & ~ambiguous).alias("key_missing"), ambiguous.alias("key_ambiguous"))
+    return done
+
+
 def grouped_issues(issues: DataFrame) -> DataFrame:
     """By code, message, severity, dataset and field: affected rows; the row only where it is one."""
     out = issues.groupBy("code", "message", "severity", "dataset", "field").agg(F.count_distinct("row").alias("affected"), F.min("row").alias("row"))

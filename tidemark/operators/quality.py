@@ -97,6 +97,23 @@ def metric_boundary(measured: DataFrame, metric: str, low: float | None, high: f
     return measured.select(F.lit(metric).alias("metric"), c.cast("double").alias("value"), F.when(F.coalesce(bad, F.lit(False)), F.lit("METRIC_BOUNDARY_FAILED")).alias("issue"))
 
 
+def metric_boundaries(measured: DataFrame, bounds: Sequence[tuple[str, float | None, float | None]]) -> DataFrame:
+    """``metric_boundary`` of several metrics, from one pass over what was measured."""
+    items = []
+    for metric, low, high in bounds:
+        c, bad = F.col(metric), F.lit(False)
+        bad = bad | (c < low) if low is not None else bad
+        bad = bad | (c > high) if high is not None else bad
+        items.append(F.struct(F.lit(metric).alias("metric"), c.cast("double").alias("value"), F.when(F.coalesce(bad, F.lit(False)), F.lit("METRIC_BOUNDARY_FAILED")).alias("issue")))
+    return measured.select(F.inline(F.array(*items)))
+
+
+def different_results(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows of one result that the other hasn't as often, with how often more (``only_a``, ``only_b``); none if both are the same."""
+    both = a.withColumn("a__", F.lit(1)).unionByName(b.withColumn("a__", F.lit(-1))).groupBy(*a.columns).agg(F.sum("a__").alias("d__")).filter("d__ <> 0")
+    return both.select(*a.columns, F.greatest("d__", F.lit(0)).cast("long").alias("only_a"), F.greatest(-F.col("d__"), F.lit(0)).cast("long").alias("only_b"))
+
+
 def iqr_outliers(df: DataFrame, column: str, factor: float = 1.5, keep: Sequence[str] = (), group: Sequence[str] = ()) -> DataFrame:
     """Rows outside the quartiles by more than ``factor`` interquartile ranges; fewer than four values have none.
 
@@ -108,7 +125,8 @@ def iqr_outliers(df: DataFrame, column: str, factor: float = 1.5, keep: Sequence
     bounds = some.groupBy(*group).agg(F.count(F.lit(1)).alias("n__"), F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias("q__")).filter("n__ >= 4")
     low, high = F.col("q__")[0], F.col("q__")[1]
     bounds = bounds.select(*group, (low - factor * (high - low)).alias("low"), (high + factor * (high - low)).alias("high"))
-    joined = some.join(F.broadcast(bounds), list(group)) if group else some.join(F.broadcast(bounds))  # without groups there is one row of bounds
+    # without groups there is one row of bounds; groups may be many, so their join is left to the planner
+    joined = some.join(bounds, list(group)) if group else some.join(F.broadcast(bounds))
     return joined.filter((c < F.col("low")) | (c > F.col("high"))).select(*keep, *group, F.col(f"`{column}`"), "low", "high")
 
 

@@ -13,28 +13,37 @@ from tidemark.plans.contracts import ResolutionRule
 
 
 def micro(numerator: Column, denominator: Column) -> Column:
-    """A ratio in millionths, rounded half to even."""
+    """A ratio in millionths, rounded half to even; both are best columns, since they are named several times."""
     n, d = numerator.cast("long") * F.lit(2_000_000), denominator.cast("long") * 2
-    whole, rest = F.floor(n / d), None
-    whole = (n - F.pmod(n, d)) / d
-    whole = whole.cast("long")
-    rest = F.pmod(n, d)
-    half = denominator.cast("long")
+    rest, half = F.pmod(n, d), denominator.cast("long")
+    whole = F.call_function("div", n, d)
     return whole + F.when((rest > half) | ((rest == half) & (F.pmod(whole, F.lit(2)) == 1)), 1).otherwise(0)
 
 
+def _blank(c: Column) -> Column:
+    return c.isNull() | (c == "")
+
+
+def levenshtein_parts(a: Column, b: Column) -> tuple[Column, Column]:
+    """Numerator and denominator of 1 - distance / longer length; 0 of 1 if either is blank."""
+    longest = F.greatest(F.char_length(a), F.char_length(b))
+    return F.when(_blank(a) | _blank(b), F.lit(0)).otherwise(longest - F.levenshtein(a, b)), F.greatest(longest, F.lit(1))
+
+
+def jaccard_parts(a: Column, b: Column) -> tuple[Column, Column]:
+    """Common tokens and all tokens of two texts; 0 of 1 if either is blank."""
+    x, y = F.split(a, " "), F.split(b, " ")
+    return F.when(_blank(a) | _blank(b), F.lit(0)).otherwise(F.size(F.array_intersect(x, y))), F.greatest(F.size(F.array_union(x, y)), F.lit(1))
+
+
 def levenshtein_score(a: Column, b: Column) -> Column:
     """1 - distance / longer length, in millionths; 0 if either is blank."""
-    longest = F.greatest(F.char_length(a), F.char_length(b))
-    blank = a.isNull() | b.isNull() | (a == "") | (b == "")
-    return F.when(blank, F.lit(0).cast("long")).otherwise(micro(longest - F.levenshtein(a, b), F.greatest(longest, F.lit(1))))
+    return micro(*levenshtein_parts(a, b))
 
 
 def jaccard_score(a: Column, b: Column) -> Column:
     """Common tokens over all tokens, in millionths."""
-    x, y = F.array_distinct(F.split(a, " ")), F.array_distinct(F.split(b, " "))
-    blank = a.isNull() | b.isNull() | (a == "") | (b == "")
-    return F.when(blank, F.lit(0).cast("long")).otherwise(micro(F.size(F.array_intersect(x, y)), F.size(F.array_union(x, y))))
+    return micro(*jaccard_parts(a, b))
 
 
 def candidates(rows: DataFrame, rule: ResolutionRule, row: str) -> tuple[DataFrame, DataFrame]:
@@ -53,10 +62,11 @@ def candidates(rows: DataFrame, rule: ResolutionRule, row: str) -> tuple[DataFra
     right = some.select("block", F.col("id").alias("right_id"), *[F.col(f"c{i}").alias(f"d{i}") for i in range(len(rule.compare))])
     pairs = some.join(right, "block").filter(F.col("id") < F.col("right_id"))
     weights = [round(w * 1000) for _, _, w in rule.compare]
-    score = F.lit(0).cast("long")
-    for i, ((_, method, _), w) in enumerate(zip(rule.compare, weights, strict=True)):
-        score = score + (levenshtein_score if method == "levenshtein" else jaccard_score)(F.col(f"c{i}"), F.col(f"d{i}")) * w
-    scored = pairs.select(F.col("id").alias("left_id"), "right_id", "block", score.alias("weighted"))
+    # distances, ratios and their sum are a projection each, so that generated code names none of them twice
+    parts = [(levenshtein_parts if method == "levenshtein" else jaccard_parts)(F.col(f"c{i}"), F.col(f"d{i}")) for i, (_, method, _) in enumerate(rule.compare)]
+    measured = pairs.select(F.col("id").alias("left_id"), "right_id", "block", *[x.alias(f"{n}{i}") for i, p in enumerate(parts) for n, x in zip(("n", "m"), p, strict=True)])
+    ratios = measured.select("left_id", "right_id", "block", *[micro(F.col(f"n{i}"), F.col(f"m{i}")).alias(f"s{i}") for i in range(len(parts))])
+    scored = ratios.select("left_id", "right_id", "block", sum((F.col(f"s{i}") * w for i, w in enumerate(weights)), F.lit(0).cast("long")).alias("weighted"))
     total = sum(weights)
     scored = scored.select("left_id", "right_id", "block", micro(F.col("weighted"), F.lit(total * 1_000_000)).alias("score"))
     return scored.filter(F.col("score") >= round(rule.threshold * 1_000_000)), findings

@@ -59,8 +59,8 @@ def regex_cleanup(spark, d):
 
 
 REGEX_CLEANUP = r"""
-SELECT doc_id, regexp_replace(substr(text, 1, 200), '[^A-Za-z0-9 ]+', '', 'g') AS plain,
-  regexp_replace(substr(text, 1, 200), '([a-z]+) ([a-z]+)', '\2 \1') AS swapped,
+SELECT doc_id, regexp_replace(text, '[^A-Za-z0-9 ]+', '', 'g') AS plain,
+  regexp_replace(text, '([a-z]+) ([a-z]+)', '\2 \1') AS swapped,
   CAST(doc_id AS VARCHAR) || '123 x-4-' AS digits
 FROM documents
 """

@@ -43,5 +43,5 @@ def records(spark: SparkSession, path: str, model: str, fields: dict[str, str],
         else:
             value = F.when(~none, raw)
         out.append(value.alias(name))
-    df = rows.select(*out).orderBy("id")
-    return df.limit(limit) if limit is not None else df
+    df = rows.select(*out)
+    return df.orderBy("id").limit(limit) if limit is not None else df

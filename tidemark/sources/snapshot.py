@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import atexit
 import json
-import os
 import shutil
-import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -23,23 +21,25 @@ class SnapshotBroken(ValueError):
 
 
 def work_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local session without one gets a temporary folder."""
+    """The folder that driver and executors share, ``spark.checkpoint.dir``, else one in the warehouse; with a local master that one goes when the driver ends."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found
+    found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work-{uuid.uuid4().hex}"
     if spark.sparkContext.master.startswith("local"):
-        path = tempfile.mkdtemp(prefix="tidemark-work-")
-        atexit.register(shutil.rmtree, path, True)
-        found = f"file://{path}"
-    else:
-        found = os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_work")
+        atexit.register(shutil.rmtree, found.removeprefix("file:"), True)
     spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+def work_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder."""
+    return f"{work_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def work_table(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: short lineage that outlives executors."""
-    path = f"{work_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = work_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -97,9 +97,15 @@ def compact(spark: SparkSession, path: str, out: str, files: int, row: str = "sr
     spark.read.parquet(path).repartitionByRange(files, row).sortWithinPartitions(row).write.option("compression", "zstd").parquet(out)
 
 
-def upsert(base: DataFrame, changes: DataFrame, keys: Sequence[str], ignore: bool = False) -> DataFrame:
-    """Rows of ``base`` with those of ``changes`` put in by key: replacing, or only where the key is new."""
-    one = changes.dropDuplicates(list(keys))
+def upsert(base: DataFrame, changes: DataFrame, keys: Sequence[str], ignore: bool = False, order: Sequence[str] = ()) -> DataFrame:
+    """Rows of ``base`` with those of ``changes`` put in by key: replacing, or only where the key is new.
+
+    Of several changes of a key the last one counts: by ``order``, then by all values, so
+    that the result doesn't depend on how the rows are dealt out.
+    """
+    values = [c for c in base.columns if c not in keys]
+    last = F.max(F.struct(*[F.col(f"`{c}`").alias(f"o{i}") for i, c in enumerate(order)], *[F.col(f"`{c}`").alias(f"v{i}") for i, c in enumerate(values)], F.lit(0).alias("z")))
+    one = changes.groupBy(*keys).agg(last.alias("last__")).select(*keys, *[F.col(f"last__.v{i}").alias(c) for i, c in enumerate(values)])
     if ignore:
         return base.unionByName(one.join(base.select(*keys), list(keys), "left_anti").select(base.columns))
     return base.join(one.select(*keys), list(keys), "left_anti").select(base.columns).unionByName(one.select(base.columns))
