@@ -208,6 +208,25 @@ def test_packing_is_tight():
             assert mine[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(mine, mine[1:], strict=False))
 
 
+def test_sums_of_one_two_and_three_lengths():
+    from tidemark.llm.packing import SumIndex
+
+    lengths, capacity = [1, 2, 3, 5, 8, 13], 21
+    have = np.zeros(capacity + 1, int)
+    have[lengths] = 1
+    index = SumIndex(np.array(lengths), capacity)
+    for gap in range(1, capacity + 1):
+        for most in (5, 21):
+            low = [x for x in lengths if x <= most]
+            pairs = {(a, b) for a in low for b in low if a >= b and a + b == gap}
+            triples = {(a, b, c) for a in low for b in low for c in low if a >= b >= c and a + b + c == gap}
+            assert set(index.filling(gap, 1, have, most)) == {(x,) for x in low if x == gap}
+            assert set(index.filling(gap, 2, have, most)) == pairs
+            assert set(index.filling(gap, 3, have, most)) == triples
+    # three pieces that fill the gap exactly, where no one or two do
+    assert plan({14: 5, 4: 5, 3: 5, 2: 5, 1: 0}, 23) == [((14, 4, 3, 2), 5)]
+
+
 def test_packing_of_a_table(spark, sf_dir, texts):
     rows = entry.queries()["op4_best_fit_packing"](spark, sf_dir).collect()
     from tidemark.llm.byte_bpe import byte_bpe
@@ -272,6 +291,23 @@ def test_byte_bpe_equals_the_library():
     assert [b.encode(c).tolist() for c in cases] == [b.library.encode(c, add_special_tokens=False).ids for c in cases]
 
 
+def test_byte_bpe_equals_the_library_on_random_texts():
+    """Texts of all Latin blocks with digits, white space, punctuation and special strings, which take the faster encoder."""
+    from tidemark.llm.byte_bpe import _PLAIN, byte_bpe
+
+    b = byte_bpe()
+    rng = np.random.default_rng(13)
+    latin = [chr(c) for c in (*range(0x20, 0x250), *range(0x2000, 0x2070), *range(0x20A0, 0x20C0))]
+    common = list("etaoinshrdlu ETAOIN 0123456789 .,;:'\"!?()-_/\\\n\r\t  ")
+    ends = ["'s", "'re", "'LL", "<|endoftext|>", "\r\n", "   ", "\u00a0", "\u2028", "\u0130", "\u01c5", "\u00df", "it's", "http://x.y/z?a=1&b=2"]
+    for i in range(4000):
+        n = int(rng.integers(1, 60))
+        pool = [latin, common, latin + common * 8][i % 3]
+        text = "".join(str(rng.choice(ends)) if rng.random() < 0.1 else pool[rng.integers(len(pool))] for _ in range(n))
+        assert _PLAIN.match(text)
+        assert b.encode(text).tolist() == b.library.encode(text, add_special_tokens=False).ids, text
+
+
 def test_sentencepiece_on_a_table(spark, sf_dir, texts):
     import zlib
 

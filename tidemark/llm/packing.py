@@ -27,6 +27,46 @@ from tidemark.llm.common import in_arrow, text_slices, texts_of, written
 END_ID = 2
 
 
+class SumIndex:
+    """Sums of one, two and three lengths, of those that occur: gap -> the combinations that fill it exactly.
+
+    Singles and pairs are held by their sums; a triple's sum is found as its longest length
+    and the pairs that are indexed under the rest.
+    """
+
+    def __init__(self, lengths: np.ndarray, capacity: int):
+        self.lengths = np.sort(lengths)[::-1]  # longest first
+        self.single = np.zeros(capacity + 1, bool)
+        self.single[lengths] = True
+        a, b = np.meshgrid(self.lengths, self.lengths, indexing="ij")
+        keep = (a >= b) & (a + b <= capacity)
+        a, b = a[keep], b[keep]
+        order = np.lexsort((-a, a + b))  # by sum, the most unequal pair last
+        self.long, self.short = a[order][::-1], b[order][::-1]
+        total = (a + b)[order][::-1]
+        self.first = len(total) - np.searchsorted(total[::-1], np.arange(capacity + 1), "right")
+        self.end = len(total) - np.searchsorted(total[::-1], np.arange(capacity + 1), "left")
+
+    def pairs(self, total: int) -> tuple[np.ndarray, np.ndarray]:
+        """Longer and shorter length of every pair with this sum, from equal to far apart."""
+        at = slice(self.first[total], self.end[total])
+        return self.long[at], self.short[at]
+
+    def filling(self, gap: int, size: int, have: np.ndarray, most: int):
+        """Available combinations of ``size`` lengths of at most ``most`` that sum to ``gap``; ``have`` may change meanwhile."""
+        if size == 1:
+            if gap <= most and self.single[gap] and have[gap]:
+                yield (gap,)
+        elif size == 2:
+            long, short = self.pairs(gap)
+            fits = (long <= most) & (have[long] > 0) & (have[short] > 0)
+            yield from zip(long[fits].tolist(), short[fits].tolist(), strict=True)
+        else:
+            for x in self.lengths[(self.lengths <= min(most, gap - 2)) & (3 * self.lengths >= gap)].tolist():
+                if have[x]:
+                    yield from ((x, *p) for p in self.filling(gap - x, 2, have, x))
+
+
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Patterns (lengths in one sequence, longest first) and how many sequences have each.
 
@@ -34,11 +74,15 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], i
     long ones, so the index is tried for combinations that hold a length of at least
     some share of the capacity, for a few shares; the plan with the fewest sequences wins.
     """
-    tries = [_plan(counts, capacity, pair, triple) for pair, triple in ((0, 0), (0, capacity // 3), (0, capacity // 2), (capacity // 2, capacity * 2 // 3), (capacity // 2, capacity))]
+    half, most = capacity // 2, capacity * 2 // 3
+    shares = [(0, 0, capacity), (0, 0, 0), (0, capacity // 3, capacity), (0, capacity // 3, capacity // 3), (0, half, capacity), (0, half, half), (half, most, capacity), (half, most, most), (half, capacity, capacity)]
+    index = SumIndex(np.array(sorted(counts), np.int64), capacity)
+    tries = [_plan(counts, capacity, index, s) for s in shares]
     return min(tries, key=lambda patterns: sum(times for _, times in patterns))
 
 
-def _plan(counts: dict[int, int], capacity: int, pair_from: int, triple_from: int) -> list[tuple[tuple[int, ...], int]]:
+def _plan(counts: dict[int, int], capacity: int, index: SumIndex, shares: tuple[int, int, int]) -> list[tuple[tuple[int, ...], int]]:
+    """``shares``: how long a length must be for its gap to be filled by one, two and three others."""
     have = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
         have[length] += n
@@ -57,18 +101,14 @@ def _plan(counts: dict[int, int], capacity: int, pair_from: int, triple_from: in
 
     take((capacity,))
     for longest in range(capacity - 1, 0, -1):
-        if not have[longest]:
-            continue
         gap = capacity - longest
-        if longest >= pair_from and gap <= longest and have[gap]:  # the single that fills the gap
-            take((longest, gap))
-        if longest >= triple_from and have[longest]:  # pairs whose sum fills it, from equal to far apart
-            second = np.arange(min(longest, gap - 1), (gap - 1) // 2, -1)
-            for k in second[(have[second] > 0) & (have[gap - second] > 0)].tolist():
-                take((longest, k, gap - k))
-                if not have[longest]:
-                    break
-        while have[longest] and longest >= pair_from:  # best fit: each gap takes the longest length that fits
+        for size, least in enumerate(shares, 1):
+            if longest >= least and have[longest]:
+                for others in index.filling(gap, size, have, longest):
+                    take((longest, *others))
+                    if not have[longest]:
+                        break
+        while have[longest] and longest >= shares[0]:  # best fit: each gap takes the longest length that fits
             lengths, left, room = [longest], have.copy(), gap
             left[longest] -= 1
             while room and len(fits := np.flatnonzero(left[: room + 1])):
@@ -105,7 +145,8 @@ def pieces(docs: DataFrame, capacity: int = 1024, text: str = "text", key: str =
     """Pieces of every document's ids and end id: key, piece, start, length, ids_crc32, and part and rank for packing.
 
     Only documents of more than ``capacity`` tokens are cut; their first piece is the
-    short one.  A null or empty text is its end id.
+    short one.  A null or empty text is its end id; null and repeated keys and repeated rows
+    stay rows of their own; an empty table gives an empty one.
     """
     source = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("t"))
     kind = source.schema["key"].dataType.simpleString()
@@ -162,5 +203,6 @@ def packed_sequences(placed: DataFrame) -> DataFrame:
 
 
 def op4_best_fit_packing(docs: DataFrame) -> DataFrame:
+    """Pieces of at most 1024 tokens of every document, with their sequence and place in it."""
     placed = pack(pieces(docs))
     return placed.select(F.col("key").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
