@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tidemark.queries import extra, products, relations, scans, values
+from tidemark.queries import extra, more, products, relations, scans, values
 
-_ALL: dict[str, tuple[Callable, str | None]] = {**relations.QUERIES, **values.QUERIES, **extra.QUERIES, **scans.QUERIES, **products.QUERIES}
+_ALL: dict[str, tuple[Callable, str | None]] = {**relations.QUERIES, **values.QUERIES, **extra.QUERIES, **scans.QUERIES, **products.QUERIES, **more.QUERIES}
 
 
 def queries() -> dict[str, Callable]:

@@ -164,6 +164,12 @@ def unpivot_changes(df: DataFrame, key: Sequence[str], fields: Sequence[tuple[st
     return df.select(*key, F.explode(F.array_compact(F.array(*items))).alias("i")).select(*key, "i.field", "i.raw", "i.proposed")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt evenly over all cores, if its files have fewer splits than that; a table of many splits stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def ordinals(df: DataFrame, order: Sequence[str], out: str = "ordinal", partitions: int | None = None) -> DataFrame:
     """Dense 0-based numbers in a total order, without one task that sees all rows.
 

@@ -84,6 +84,7 @@ class RelationSpec:
     origin: str = "incoming"
     required_at_create: bool = True
     on_missing: str = "block"
+    kind: str = "many2one"  # or many2many
 
 
 @dataclass(frozen=True)
@@ -123,6 +124,16 @@ class ResolutionRule:
     max_degree: int = 5
 
 
+@dataclass(frozen=True)
+class ControlTotal:
+    """What the exact sum of a numeric field has to be, within a tolerance."""
+
+    dataset: str
+    field: str
+    expected: str | None = None
+    tolerance: str = "0"
+
+
 @dataclass(frozen=True)
 class Plan:
     datasets: tuple[DatasetSpec, ...]

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Iterable, Mapping
+from decimal import Decimal, InvalidOperation
 
 from tidemark.functions.convert import DATES, DATETIMES, LOCALES, ROUNDINGS
 from tidemark.functions.formula import FormulaError, parse_formula
 from tidemark.functions.text import UnsafePattern, guarded_pattern
-from tidemark.plans.contracts import DatasetSpec, FieldSpec, Plan
+from tidemark.plans.contracts import ControlTotal, DatasetSpec, FieldSpec, Plan
 
 KINDS = ("string", "integer", "decimal", "boolean", "date", "datetime")
 MAX_RULES, MAX_CONDITIONS, MAX_VALUE_MAP = 20, 8, 1000
@@ -43,12 +46,13 @@ def validate(plan: Plan, columns: Mapping[str, Iterable[str]], target: Mapping[s
     """Problems of a plan, given each dataset's source columns and, where known, the target's fields (type, required, readonly)."""
     out: list[tuple[str, str, str]] = []
     names = [d.name for d in plan.datasets]
+    identities = {d.name: len(d.identity) + len(d.scope) for d in plan.datasets}
     out += [("DATASET_DUPLICATE", n, "declared twice") for n in sorted({n for n in names if names.count(n) > 1})]
     for d in plan.datasets:
         if d.name not in columns:
             out.append(("DATASET_UNKNOWN", d.name, "no such source"))
             continue
-        out += _dataset(d, set(columns[d.name]), names)
+        out += _dataset(d, set(columns[d.name]), names, identities)
         if target is not None:
             out += _target(d, target)
     try:
@@ -58,7 +62,7 @@ def validate(plan: Plan, columns: Mapping[str, Iterable[str]], target: Mapping[s
     return out
 
 
-def _dataset(d: DatasetSpec, have: set[str], names: list[str]) -> list[tuple[str, str, str]]:
+def _dataset(d: DatasetSpec, have: set[str], names: list[str], identities: Mapping[str, int]) -> list[tuple[str, str, str]]:
     out = []
     fields = [f.name for f in d.fields]
     out += [("TARGET_FIELD_CLAIMED_TWICE", f"{d.name}.{n}", "two fields write it") for n in sorted({n for n in fields if fields.count(n) > 1})]
@@ -74,6 +78,14 @@ def _dataset(d: DatasetSpec, have: set[str], names: list[str]) -> list[tuple[str
     for r in d.relations:
         if r.origin == "incoming" and r.parent not in names:
             out.append(("RELATION_PARENT_UNKNOWN", f"{d.name}.{r.name}", r.parent))
+        if r.origin not in ("incoming", "target"):
+            out.append(("RELATION_ORIGIN_UNKNOWN", f"{d.name}.{r.name}", r.origin))
+        if r.kind not in ("many2one", "many2many"):
+            out.append(("RELATION_KIND_UNKNOWN", f"{d.name}.{r.name}", r.kind))
+        if r.origin == "incoming" and r.parent in identities and len(r.key) != identities[r.parent]:
+            out.append(("RELATION_KEY_ARITY", f"{d.name}.{r.name}", f"{len(r.key)} fields for an identity of {identities[r.parent]}"))
+        if r.on_missing in ("null", "warning") and r.required_at_create:
+            out.append(("RELATION_POLICY_UNSAFE", f"{d.name}.{r.name}", f"{r.on_missing} for a reference that a new row needs"))
         if not r.key or any(k not in fields for k in r.key):
             out.append(("RELATION_KEY_UNMAPPED", f"{d.name}.{r.name}", ", ".join(r.key)))
         if r.on_missing not in ("block", "null", "warning"):
@@ -156,6 +168,12 @@ def _target(d: DatasetSpec, target: Mapping[str, Mapping[str, dict]]) -> list[tu
             out.append(("TARGET_FIELD_READONLY", f"{d.name}.{f.name}", "read only"))
         elif meta.get("type") in COMPATIBLE and f.kind not in COMPATIBLE[meta["type"]]:
             out.append(("TARGET_TYPE_INCOMPATIBLE", f"{d.name}.{f.name}", f"{f.kind} into {meta['type']}"))
+    for r in d.relations:
+        related = fields.get(r.name, {}).get("relation")
+        if related is not None and related != r.parent:
+            out.append(("RELATION_MODEL_MISMATCH", f"{d.name}.{r.name}", f"{r.parent}, not {related}"))
+        if r.name in fields and fields[r.name].get("type", r.kind) != r.kind:
+            out.append(("RELATION_KIND_MISMATCH", f"{d.name}.{r.name}", f"{r.kind} into {fields[r.name]['type']}"))
     mapped = {f.name for f in d.fields}
     out += [("TARGET_REQUIRED_UNMAPPED", f"{d.name}.{n}", "required and not mapped") for n, m in sorted(fields.items()) if m.get("required") and n not in mapped]
     return out
@@ -195,6 +213,94 @@ def code_drift(captured: Mapping[str, Iterable[str]], live: Mapping[str, Iterabl
     return out
 
 
+def definition_hash(value) -> str:
+    """SHA-256 of a selection of columns or of a target's fields, whatever the order of its parts."""
+
+    def plain(v):
+        if isinstance(v, Mapping):
+            return {str(k): plain(x) for k, x in v.items()}
+        return v if isinstance(v, str | int | float | bool | None) else sorted(map(str, v))
+
+    return hashlib.sha256(json.dumps(plain(value), sort_keys=True).encode()).hexdigest()
+
+
+def binding_problems(bound: tuple[str, str], columns: Mapping[str, Iterable[str]], target: Mapping[str, Mapping[str, dict]]) -> list[tuple[str, str, str]]:
+    """A plan is bound to the hashes (selection, schema) that it was made for; what differs now."""
+    now = (definition_hash(columns), definition_hash(target))
+    return [(code, "plan", f"{a} now") for code, a, b in zip(("SELECTION_HASH_MISMATCH", "SCHEMA_HASH_MISMATCH"), now, bound, strict=True) if a != b]
+
+
+def deferred_checks(plan: Plan) -> list[tuple[str, str]]:
+    """Checks that only rows can answer: (check, dataset and field)."""
+    out = []
+    for d in sorted(plan.datasets, key=lambda d: d.name):
+        out.append(("IDENTITY_UNIQUE", d.name))
+        out += [("REFERENCE_RESOLVES", f"{d.name}.{r.name}") for r in d.relations]
+        out += [("REQUIRED_ON_CREATE_PRESENT", f"{d.name}.{f.name}") for f in d.fields if f.required_on_create]
+        out += [("REQUIRED_PRESENT", f"{d.name}.{f.name}") for f in d.fields if f.required]
+        out += [("CONVERSION_SUCCEEDS", f"{d.name}.{f.name}") for f in d.fields if f.kind != "string" and f.provider != "omit"]
+    return out
+
+
+def control_total_problems(plan: Plan, totals: Iterable[ControlTotal]) -> list[tuple[str, str, str]]:
+    """A control total names a mapped numeric field once and says what to expect."""
+    out, seen = [], set()
+    fields = {(d.name, f.name): f for d in plan.datasets for f in d.fields}
+    names = {d.name for d in plan.datasets}
+    for t in totals:
+        where = f"{t.dataset}.{t.field}"
+        f = fields.get((t.dataset, t.field))
+        if t.dataset not in names:
+            out.append(("CONTROL_TOTAL_DATASET_UNKNOWN", where, t.dataset))
+        elif f is None or f.provider == "omit":
+            out.append(("CONTROL_TOTAL_FIELD_UNMAPPED", where, t.field))
+        elif f.kind not in ("integer", "decimal"):
+            out.append(("CONTROL_TOTAL_NOT_NUMERIC", where, f.kind))
+        if (t.dataset, t.field) in seen:
+            out.append(("CONTROL_TOTAL_REPEATED", where, "declared twice"))
+        seen.add((t.dataset, t.field))
+        for what, text in (("EXPECTATION", t.expected), ("TOLERANCE", t.tolerance)):
+            try:
+                value = Decimal(text) if text is not None else None
+            except InvalidOperation:
+                value = None
+            if value is None or not value.is_finite() or what == "TOLERANCE" and value < 0:
+                out.append((f"CONTROL_TOTAL_{what}_MISSING", where, str(text)))
+    return out
+
+
+def metadata_requests(plan: Plan) -> dict[str, tuple[str, ...]]:
+    """The least that has to be known of each model: fields written, identities and scopes, and the keys that references are looked up by."""
+    specs = {d.name: d for d in plan.datasets}
+    requests = []
+    for d in plan.datasets:
+        requests.append((d.name, [f.name for f in d.fields if f.provider != "omit"] + [*d.identity, *d.scope] + [r.name for r in d.relations]))
+        for r in d.relations:
+            requests.append((r.parent, [*specs[r.parent].identity, *specs[r.parent].scope] if r.parent in specs else r.key))
+    return union_requirements(requests)
+
+
+def capabilities(plan: Plan, map_literal: int = 50) -> list[tuple[str, str, str, str]]:
+    """(dataset, field, how, reason): NATIVE for a field that is expressions only, JOIN or REFUSED with a reason; a dataset has the worst of its fields under ``*``."""
+    worst = {"NATIVE": 0, "JOIN": 1, "REFUSED": 2}
+    out = []
+    for d in sorted(plan.datasets, key=lambda d: d.name):
+        found = []
+        for f in d.fields:
+            how, reason = "NATIVE", ""
+            if len(f.value_map) > map_literal:
+                how, reason = "JOIN", f"value map of {len(f.value_map)}"
+            for pattern in [s.search for s in f.steps if s.kind == "pattern"] + [c.what for c in f.checks if c.kind == "pattern"]:
+                try:
+                    guarded_pattern(pattern)
+                except UnsafePattern as e:
+                    how, reason = "REFUSED", str(e)
+            found.append((d.name, f.name, how, reason))
+        out += sorted(found)
+        out.append((d.name, "*", max((x[2] for x in found), key=worst.__getitem__, default="NATIVE"), ""))
+    return out
+
+
 def canonical_plan(plan: Plan) -> Plan:
     """Datasets and fields in a stable order."""
     from dataclasses import replace

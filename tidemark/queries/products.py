@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from tidemark.operators import identity, normalize, quality
 from tidemark.plans.compile import prepare
 from tidemark.plans.contracts import Check, Condition, DatasetSpec, FieldSpec, QualityRule, Rule, TextStep
+from tidemark.operators.reshape import spread
 from tidemark.queries.base import cents, money, sql_cents, table
+from tidemark.sources.snapshot import work_table
 
 SPEC = DatasetSpec(
     "products", ("order", "line", "part"),
@@ -50,8 +52,9 @@ def _source(spark, d):
 
 
 def products_preparation(spark, d):
-    """One row of totals over the prepared table; each step is the operator that a real run would store."""
-    rows = prepare(_source(spark, d), SPEC).withColumn("limit", F.lit(49).cast("decimal(38,0)"))
+    """One row of totals over the prepared table, which is written whole, with all its values, texts and issues, and read back."""
+    stored = work_table(prepare(spread(_source(spark, d)), SPEC), "products")
+    rows = stored.withColumn("limit", F.lit(49).cast("decimal(38,0)"))
     sized = identity.with_group_size(rows, ["order", "line", "part"])
     base = F.when(F.exists("issues", lambda i: i["error"] == "SOURCE_REQUIRED_VALUE_MISSING") | (F.col("group_size") > 1), "BLOCKED").otherwise("ELIGIBLE")
     failed = [(r, F.coalesce(quality.fails(r), F.lit(False))) for r in RULES]

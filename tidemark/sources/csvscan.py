@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import codecs
 import csv
+import itertools
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -73,39 +75,49 @@ def header_row(rows: list[list[str]]) -> int:
     return at
 
 
-def scan_csv(spark: SparkSession, path: str, dialect: Dialect | None = None, max_rows: int | None = MAX_ROWS) -> DataFrame:
-    """``src_row`` (physical line where the record starts, the header being line 1) and the header's columns as text.
+def scan_csv(spark: SparkSession, path: str, dialect: Dialect | None = None, max_rows: int | None = MAX_ROWS, header: int | str = 1, columns: Sequence[str] | None = None) -> DataFrame:
+    """``src_row`` (physical line where the record starts, the file's first being line 1) and the header's columns as text.
 
+    ``header`` is the number of the record with the headers, or ``detect`` for the most
+    header-like of the first 25; what stands before it is skipped.  ``columns`` are the
+    only ones taken out of a record, in this order; rows and faults are the same with any.
     An empty cell is empty text, a cell that a short row lacks is null.  Lines without any
     character are skipped.  The parser runs in parallel over files; one file is one task,
-    since quoted line breaks make its lines dependent on what comes before.
+    since quoted line breaks make its lines dependent on what comes before; large files
+    without these are for ``scan_csv_native``, which splits them.
     """
     d = dialect or sniff(spark, path)
     raw = spark.read.format("binaryFile").load(path).select("content")
     head = raw.select(F.substring("content", 1, SAMPLE).alias("b")).first()
     if head is None:
         raise ScanError("no file")
-    first = next(csv.reader(bytes(head["b"]).decode(d.encoding, "replace").splitlines(True), delimiter=d.delimiter), None)
-    if first is None:
+    start = list(itertools.islice(csv.reader(bytes(head["b"]).decode(d.encoding, "replace").splitlines(True), delimiter=d.delimiter), 25 if header == "detect" else header))
+    skipped = header_row(start) if header == "detect" else header - 1
+    if len(start) <= skipped:
         raise ScanError("no header row")
-    names = [c.strip() for c in first]
+    names = [c.strip() for c in start[skipped]]
     if any(not n for n in names) or len({n.casefold() for n in names}) < len(names):
         raise ScanError("headers must be filled and distinct")
     if len(names) > MAX_COLUMNS:
         raise ScanError(f"more than {MAX_COLUMNS} columns")
-    schema = T.StructType([T.StructField("src_row", T.LongType()), *[T.StructField(n, T.StringType()) for n in names]])
+    taken = list(names if columns is None else columns)
+    if not set(taken) <= set(names):
+        raise ScanError(f"no column {sorted(set(taken) - set(names))}")
+    places = [names.index(c) for c in taken]
+    schema = T.StructType([T.StructField("src_row", T.LongType()), *[T.StructField(n, T.StringType()) for n in taken]])
 
     def parse(batches):
         import io
 
         import pyarrow as pa
 
-        kinds = pa.schema([("src_row", pa.int64()), *[(n, pa.string()) for n in names]])
+        kinds = pa.schema([("src_row", pa.int64()), *[(n, pa.string()) for n in taken]])
         csv.field_size_limit(MAX_CELL)
         for batch in batches:
             for content in batch.column(0).to_pylist():
                 reader = csv.reader(io.StringIO(content.decode(d.encoding), newline=""), delimiter=d.delimiter, strict=True)
-                next(reader, None)
+                for _ in range(skipped + 1):
+                    next(reader, None)
                 rows: list[list] = []
                 line, n = reader.line_num + 1, 0
                 for record in reader:
@@ -117,7 +129,7 @@ def scan_csv(spark: SparkSession, path: str, dialect: Dialect | None = None, max
                     n += 1
                     if max_rows is not None and n > max_rows:
                         raise ScanError(f"more than {max_rows} rows")
-                    rows.append([start, *record, *[None] * (len(names) - len(record))])
+                    rows.append([start, *(record[i] if i < len(record) else None for i in places)])
                     if len(rows) >= 5000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
                         rows = []

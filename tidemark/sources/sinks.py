@@ -18,25 +18,50 @@ def write_csv(df: DataFrame, path: str, safe: bool = True) -> None:
     df.select(*[(formula_safe(x) if safe else x).alias(c) for c, x in zip(df.columns, cells, strict=True)]).write.option("header", True).option("quoteAll", True).option("escape", "\"").csv(path)
 
 
-def write_prepared(df: DataFrame, path: str) -> None:
-    """A prepared table, one writer per partition and no shuffle."""
-    df.write.option("compression", "zstd").parquet(path)
+def write_results(folder: str, results: dict[str, DataFrame], about: dict | None = None, preview: int = 100) -> dict:
+    """A report for people in a folder of the driver: ``manifest.json``, a CSV preview of each result and a workbook of all previews.
 
-
-def write_batches(intents: DataFrame, send, size: int = 100) -> None:
-    """Send each partition's rows in batches; a batch isn't sent again by this function, the sender decides about repeats."""
-
-    def run(rows):
-        batch = []
-        for r in rows:
-            batch.append(r.asDict(recursive=True))
-            if len(batch) == size:
-                send(batch)
-                batch = []
-        if batch:
-            send(batch)
-
-    intents.foreachPartition(run)
+    The manifest has each result's columns and its whole number of rows.  Every file is
+    written beside its place and then put there at once, the manifest last, so a reader
+    never sees half a file or a manifest ahead of its files.  Returns the manifest.
+    """
+    import csv
+    import json
+    import os
+    import uuid
+
+    os.makedirs(folder, exist_ok=True)
+    spare = f".{uuid.uuid4().hex}"
+
+    def put(name: str, write) -> None:
+        own = os.path.join(folder, name + spare)
+        try:
+            write(own)
+            os.replace(own, os.path.join(folder, name))
+        finally:
+            if os.path.exists(own):
+                os.remove(own)
+
+    manifest = {"about": about or {}, "results": {}}
+    few = {}
+    for name, df in results.items():
+        few[name] = df.limit(preview)
+        shown = few[name].select(*[formula_safe(F.col(f"`{c}`").cast("string")).alias(c) for c in df.columns]).collect()
+
+        def write_rows(path: str, df=df, shown=shown) -> None:
+            with open(path, "w", newline="", encoding="utf-8") as f:
+                csv.writer(f, quoting=csv.QUOTE_ALL).writerows([df.columns, *map(tuple, shown)])
+
+        put(f"{name}.csv", write_rows)
+        manifest["results"][name] = {"columns": df.columns, "rows": df.count(), "shown": len(shown)}
+    put("results.xlsx", lambda path: write_workbook(path, few))
+
+    def write_manifest(path: str) -> None:
+        with open(path, "w", encoding="utf-8") as f:
+            json.dump(manifest, f, indent=1, sort_keys=True)
+
+    put("manifest.json", write_manifest)
+    return manifest
 
 
 def write_workbook(path: str, sheets: dict[str, DataFrame], max_rows: int = 100_000) -> None:

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import json
 import shutil
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,6 +93,63 @@ def rows_between(df: DataFrame, first: int, end: int, row: str = "src_row") -> D
     return df.filter((F.col(row) >= first) & (F.col(row) < end))
 
 
+def _schema_hash(df: DataFrame) -> str:
+    return hashlib.sha256(json.dumps([(f.name, f.dataType.simpleString()) for f in df.schema]).encode()).hexdigest()
+
+
+def write_prepared(df: DataFrame, path: str, binding: str = "", row: str = "src_row") -> dict:
+    """Write a prepared table, one writer per partition and no shuffle; returns its facts: rows, schema hash and what it is bound to."""
+    df.write.option("compression", "zstd").parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    r = stored.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(row).alias("d")).first()
+    return {"n_rows": r["n"], "n_distinct": r["d"], "schema_hash": _schema_hash(df), "schema": df.schema.json(), "binding": binding}
+
+
+def open_prepared(spark: SparkSession, path: str, expected: dict, binding: str = "", columns: Sequence[str] | None = None, row: str = "src_row") -> DataFrame:
+    """The prepared table's ``columns``, if its binding, physical schema and rows are as written; else an error."""
+    if expected["binding"] != binding:
+        raise SnapshotBroken(f"bound to {expected['binding']}, not {binding}")
+    if _schema_hash(spark.read.parquet(path)) != expected["schema_hash"]:
+        raise SnapshotBroken("the files have another schema")
+    df = spark.read.schema(T.StructType.fromJson(json.loads(expected["schema"]))).parquet(path)
+    r = df.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(row).alias("d")).first()
+    if (r["n"], r["d"]) != (expected["n_rows"], expected["n_distinct"]):
+        raise SnapshotBroken(f"{r['n']} rows, not {expected['n_rows']}")
+    return df.select(row, *[c for c in columns if c != row]) if columns is not None else df
+
+
+def ordered_batches(df: DataFrame, size: int = 5000, row: str = "src_row") -> Iterator[list]:
+    """Rows in order, at most ``size`` at a time, for an export by the driver, which holds one partition at a time."""
+    batch: list = []
+    for r in df.orderBy(row).toLocalIterator(prefetchPartitions=False):
+        batch.append(r)
+        if len(batch) == size:
+            yield batch
+            batch = []
+    if batch:
+        yield batch
+
+
+def write_values(df: DataFrame, path: str, ordinal: str, value: str) -> dict:
+    """A derived column by itself: (ordinal, value), ordinals 0 to n - 1; anything else is refused.  Returns its facts."""
+    from tidemark.operators.identity import integrity
+
+    df.select(F.col(ordinal).cast("long").alias("ordinal"), F.col(value).alias("value")).write.option("compression", "zstd").parquet(path)
+    stored = df.sparkSession.read.parquet(path)
+    found = integrity(stored, "ordinal").first()
+    if not found["contiguous"]:
+        raise SnapshotBroken(f"ordinals don't count 0 to {found['n_rows'] - 1}")
+    return {"n_rows": found["n_rows"], "schema_hash": _schema_hash(stored)}
+
+
+def with_values(df: DataFrame, ordinal: str, path: str, expected: dict, out: str) -> DataFrame:
+    """``df`` with a stored derived column put beside its rows by ordinal; the file must be as written."""
+    stored = df.sparkSession.read.parquet(path)
+    if _schema_hash(stored) != expected["schema_hash"] or stored.count() != expected["n_rows"]:
+        raise SnapshotBroken("derived values aren't those that were written")
+    return df.join(stored.select(F.col("ordinal").alias(ordinal), F.col("value").alias(out)), ordinal, "left")
+
+
 def compact(spark: SparkSession, path: str, out: str, files: int, row: str = "src_row") -> None:
     """Many small fragments into a few files."""
     spark.read.parquet(path).repartitionByRange(files, row).sortWithinPartitions(row).write.option("compression", "zstd").parquet(out)
