@@ -116,7 +116,7 @@ def test_near_dedup_matches_sql(spark, sf_dir):
     assert found == expected
 
 
-def test_near_dup_blocks_give_the_same_components(spark):
+def test_near_dup_blocks_give_the_same_components(spark, monkeypatch):
     rng = np.random.default_rng(3)
     words = [f"w{i}" for i in range(2000)]
     base = list(rng.choice(words, 150))
@@ -128,7 +128,10 @@ def test_near_dup_blocks_give_the_same_components(spark):
         rows.append((i, " ".join(own)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     whole = sorted(tuple(r) for r in near_dup.near_dups(df).collect())
-    assert sorted(tuple(r) for r in near_dup.near_dups(df, block=2000).collect()) == whole
+    for members in (near_dup.BLOCK_MEMBERS, 3):
+        monkeypatch.setattr(near_dup, "BLOCK_MEMBERS", members)
+        assert sorted(tuple(r) for r in near_dup.near_dups(df, block=2000).collect()) == whole
+        assert sorted(tuple(r) for r in near_dup.near_dups(df, block=300).collect()) == whole
 
     sets = [set(zip(w, w[1:], w[2:], strict=False)) for w in (t.split() for _, t in rows)]
     parent = list(range(len(rows)))
@@ -146,6 +149,38 @@ def test_near_dup_blocks_give_the_same_components(spark):
     assert whole == [(i, len(sets[i]), find(i)) for i in range(len(rows))]
 
 
+def test_near_dup_of_a_large_group_and_its_odd_members(spark):
+    """A group of near copies whose first member isn't like all of them, chains, and look-alikes far below the threshold."""
+    rng = np.random.default_rng(21)
+    words = [f"v{i}" for i in range(5000)]
+    base = [str(w) for w in rng.choice(words, 120)]
+    rows = []
+    for i in range(400):
+        own = list(base)
+        for k in rng.integers(0, 120, int(rng.integers(0, 7))):
+            own[k] = f"x{i}"
+        rows.append((i, " ".join(own)))
+    far = [str(w) for w in rng.choice(words, 60)]
+    rows += [(1000 + i, " ".join(base[:60] + far + [f"y{i}"] * (i % 3))) for i in range(60)]
+    long = [str(w) for w in rng.choice(words, 400)]
+    rows += [(2000 + i, " ".join(long[4 * i : 4 * i + 150])) for i in range(60)]
+    sets = [set(zip(w, w[1:], w[2:], strict=False)) for w in (t.split() for _, t in rows)]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    found = near_dup.near_dups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(tuple(r) for r in found) == [(rows[i][0], len(sets[i]), rows[find(i)][0]) for i in range(len(rows))]
+
+
 def test_hyperminhash_estimate():
     rng = np.random.default_rng(1)
     for n in (50, 800):
@@ -162,8 +197,10 @@ def test_hyperminhash_estimate():
 
 def test_linked_finds_chains():
     sets = [np.arange(i * 5, i * 5 + 100, dtype=np.uint64) for i in range(30)]  # neighbours are alike, the ends aren't
-    label = linked(sets, np.stack([registers(near_dup.mix(s)) for s in sets]), 85)
-    assert set(label) == {0}
+    regs, sizes = np.stack([registers(near_dup.mix(s)) for s in sets]), np.full(30, 100)
+    assert set(linked(regs, sizes, 85, sets)) == {0}
+    known = np.r_[np.full(10, 4), np.arange(10, 30)]
+    assert len(set(linked(regs, sizes, 85, sets, known))) == 1
 
 
 def test_fingerprints(spark, sf_dir, texts):

@@ -246,19 +246,32 @@ class KeyBitmap:
         return (self.shared.value[(at >> U64(6)).astype(np.int64)] >> (at & U64(63))) & U64(1) == 1
 
 
-def join_few(docs: DataFrame, own: Column, few: DataFrame, key: str) -> DataFrame:
-    """``docs`` left-joined with the rows of a written table that few of them match, by null-safe equality.
+def _marked(docs: DataFrame, own: Column, few: DataFrame, key: str) -> tuple[DataFrame, str, Column]:
+    """``docs`` with ``own`` in a column, that column, and whether the bitmap of a written table's keys has it; in the JVM, without a shuffle.
 
-    Rows that a bitmap of the table's keys leaves out stay where they are, with nulls; only
-    the others are shuffled for the exact join.  Keys are unique; the bitmap's words, at
-    most ``MOST_BITS / 64`` rows, are broadcast.
+    The bitmap's words, at most ``MOST_BITS / 64`` rows, are broadcast.
     """
     mine, h, w, b = (free_name(docs, n) for n in ("own__", "hash__", "word__", "bits__"))
     bits = bitmap_bits(few.count())
     words = bitmap_words(few.select(F.xxhash64(key).alias("k")), "k", bits).select(F.col("w").alias(w), F.col("b").alias(b))
     marked = docs.withColumn(mine, own).withColumn(h, F.xxhash64(mine))
     marked = marked.join(F.broadcast(words), F.expr(f"cast(shiftright({h} & {bits - 1}L, 6) as int) = {w}"), "left")
-    hit = F.expr(f"coalesce((shiftright({b}, cast({h} & 63L as int)) & 1L) = 1L, false)")
+    return marked, mine, F.expr(f"coalesce((shiftright({b}, cast({h} & 63L as int)) & 1L) = 1L, false)")
+
+
+def probable(docs: DataFrame, own: Column, few: DataFrame, key: str) -> DataFrame:
+    """Rows of ``docs`` that may have a key of a written table: all that have one, and few others."""
+    marked, _, hit = _marked(docs, own, few, key)
+    return marked.filter(hit).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def join_few(docs: DataFrame, own: Column, few: DataFrame, key: str) -> DataFrame:
+    """``docs`` left-joined with the rows of a written table that few of them match, by null-safe equality.
+
+    Rows that a bitmap of the table's keys leaves out stay where they are, with nulls; only
+    the others are shuffled for the exact join.  Keys are unique.
+    """
+    marked, mine, hit = _marked(docs, own, few, key)
     columns = [F.col(f"`{c}`") for c in docs.columns]
     rest = marked.filter(~hit).select(*columns, *[F.lit(None).cast(f.dataType).alias(f.name) for f in few.schema])
     some = marked.filter(hit).select(*columns, mine).join(few, F.col(mine).eqNullSafe(F.col(key)), "left").drop(mine)
