@@ -43,7 +43,7 @@ from tidemark.llm.near_dup import words as words_of
 
 THRESHOLD = 400
 GRAM = 128
-BLOCK = 1024
+BLOCK = 16_000
 PLACE = 20  # bits
 DIGIT = 8  # bytes
 
