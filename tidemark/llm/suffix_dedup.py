@@ -17,8 +17,9 @@ and the rest forwards.  Groups of two or more are exactly the repeated windows.
 
 A class of any size is dealt in blocks of about ``block`` members.  What is repeated in
 its block is known there; of a class with several blocks, one window of each group and
-those that are alone in their block meet in an aggregation by a 128-bit cryptographic
-digest of all their bytes.
+those that are alone in their block go on, in bands of ``BAND`` neighbouring places.  A band
+whose common bytes no other member has leaves; the windows of the others meet in an
+aggregation by a 128-bit cryptographic digest of all their bytes.
 
 Windows of ``words`` words go the same way beside those of bytes, if asked for: their
 units are the 64-bit hashes of words, so that white space doesn't count.  A gram's
@@ -46,6 +47,7 @@ GRAM = 128
 BLOCK = 16_000
 PLACE = 20  # bits
 DIGIT = 8  # bytes
+BAND = 32  # places of a gram in its window that are looked at together
 
 
 def prefixes(units: np.ndarray) -> np.ndarray:
@@ -353,30 +355,46 @@ def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", thr
             begin = lo[at] + inside[at] - (twice.shape[1] - 1 - k)
             new = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (begin[1:] > begin[:-1] + threshold)])
             stop = begin[np.r_[new[1:] - 1, len(begin) - 1]] + threshold
-            yield batch_of([nodes[i] for i in at[new].tolist()], begin[new], stop, kind_of, [None] * len(new), np.ones(len(new), bool))
-        # what stands for a group, where the class has other blocks
-        size = np.dtype(unit).itemsize
+            yield batch_of(kind_of, [nodes[i] for i in at[new].tolist()], begin[new], stop)
+        # what stands for a group, where the class has other blocks: a row for each member and band of places
+        size, last = np.dtype(unit).itemsize, threshold - gram
+        digest = lambda i, x, y, *salt: hashlib.blake2b(around[i][x * size : y * size], digest_size=16, person=b"%d %d" % (kind_of, *salt)).digest()
         for first in range(0, len(around), 64):
             at, k = np.nonzero(stands[first : first + 64] & (blocks[first : first + 64, None] > 1))
-            if len(at):
-                at += first
-                begin = lo[at] + inside[at] - k
-                names = [hashlib.blake2b(around[i][x * size : (x + threshold) * size], digest_size=16, person=b"%d" % kind_of).digest() for i, x in zip(at.tolist(), (inside[at] - k).tolist(), strict=True)]
-                yield batch_of([nodes[i] for i in at.tolist()], begin, begin + threshold, kind_of, names, twice[at, k])
+            at += first
+            cuts = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (k[1:] // BAND != k[:-1] // BAND), True][: len(at) + 1]) if len(at) else np.zeros(1, np.int64)
+            if len(cuts) < 2:
+                continue
+            rows: list[list] = [[], [], [], [], [], []]
+            for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                i, places, low = int(at[x]), k[x:y].tolist(), int(k[x]) // BAND * BAND
+                own = int(inside[i])
+                # all windows of the band hold these units
+                band = digest(i, own - low, own - min(low + BAND - 1, last) + threshold, low)
+                for c, v in zip(rows, (nodes[i], int(lo[i]) + own, band, places, [digest(i, own - p, own - p + threshold, -1) for p in places], twice[i, k[x:y]].tolist()), strict=True):
+                    c.append(v)
+            yield batch_of(kind_of, rows[0], None, None, *rows[1:])
 
-    def batch_of(node, begin, stop, kind_of, names, known) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(node, pa.binary()), pa.array(begin.astype(np.int32)), pa.array(stop.astype(np.int32)), pa.array(np.full(len(begin), kind_of == 1)), pa.array(names, pa.binary()), pa.array(known)],
-            names=["node", "b", "e", "w", "h", "known"],
-        )
+    def batch_of(kind_of, node, begin, stop, anchor=None, band=None, places=None, names=None, known=None) -> pa.RecordBatch:
+        none = [None] * len(node)
+        values = [(node, pa.binary()), (none if begin is None else begin.astype(np.int32), pa.int32()), (none if stop is None else stop.astype(np.int32), pa.int32()), ([kind_of == 1] * len(node), pa.bool_())]
+        values += [(anchor or none, pa.int32()), (band or none, pa.binary()), (places or none, pa.list_(pa.int32())), (names or none, pa.list_(pa.binary())), (known or none, pa.list_(pa.bool_()))]
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in values], names=["node", "b", "e", "w", "anchor", "band", "places", "names", "known"])
 
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), members // 16_000)
-    ordered = in_arrow(around.repartition(tasks, "gram", "block"), order, "node binary, b int, e int, w boolean, h binary, known boolean")
+    ordered = in_arrow(around.repartition(tasks, "gram", "block"), order, "node binary, b int, e int, w boolean, anchor int, band binary, places array<int>, names array<binary>, known array<boolean>")
     spans = written(ordered, "suffix-spans")
-    across = spans.filter("h is not null")
-    start = F.xxhash64("node", "b")  # a window may hold grams of several classes
-    meet = written(across.select("h", start.alias("at")).groupBy("h").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).filter("lo <> hi").select("h"), "suffix-across")
-    spans = spans.filter("h is null").select("node", "b", "e", "w").union(across.filter("not known").join(meet, "h", "left_semi").select("node", "b", "e", "w"))
+    across, start = spans.filter("band is not null"), lambda *c: F.xxhash64(*c)
+    # a band that only one member has leaves here with all its windows
+    bands = written(across.select("band", start("node", "anchor").alias("at")).groupBy("band").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).filter("lo <> hi").select("band"), "suffix-bands")
+    single = across.join(bands, "band", "left_semi").select("node", "w", "anchor", F.explode(F.arrays_zip("places", "names", "known")).alias("x"))
+    single = single.select("node", (F.col("anchor") - F.col("x.places")).alias("b"), "w", F.col("x.names").alias("h"), F.col("x.known").alias("known"))
+    single = written(single, "suffix-single")
+    # a window may hold grams of several classes, so its start tells owners apart
+    meet = single.select("h", start("node", "b").alias("at")).groupBy("h").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).filter("lo <> hi").select("h")
+    width = F.when(F.col("w"), F.lit(words)).otherwise(F.lit(threshold))
+    met = single.join(meet, "h", "left_semi").filter("not known").select("node", "b", (F.col("b") + width).alias("e"), "w")
+    spans = spans.filter("band is null").select("node", "b", "e", "w").union(met)
     every = spans.groupBy("node").agg(F.collect_list(F.struct("b", "e", "w")).alias("found")).withColumnRenamed("node", "n2")
     lone = nodes.filter("copies = 1").select(F.col("node").alias("n3"))
     joined = texts.select("node", "z", "sure", "word_sure").join(every, F.col("node") == F.col("n2"), "left").filter("found is not null or sure is not null")
