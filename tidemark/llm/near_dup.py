@@ -183,7 +183,7 @@ def group_links(groups: DataFrame, rows_of, percent: int, block: int, full: bool
     heads = written(heads.select("grp", "size", F.col("node").alias("head"), *[F.col(c).alias(f"head_{c}") for c in data]), f"{name}-heads")
     node = groups.schema["node"].dataType.simpleString()
     grp = groups.schema["grp"].dataType.simpleString()
-    members = rows_of(written(groups.join(first, "grp").filter("node <> head").select("grp", "node", "weight"), f"{name}-members"), ["grp", "weight"])
+    members = rows_of(groups.join(first, "grp").filter("node <> head").select("grp", "node", "weight"), ["grp", "weight"])
 
     def compare(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         if not batch.num_rows:
@@ -210,7 +210,7 @@ def group_links(groups: DataFrame, rows_of, percent: int, block: int, full: bool
         return written(known, f"{name}-links")
     again = compared.join(rest.select("grp", "blocks", "odds"), "grp").select("grp", "node", "hit", "blocks", "odds")
     again = again.unionByName(rest.select("grp", F.col("head").alias("node"), F.lit(True).alias("hit"), "blocks", "odds"))
-    every = rows_of(written(again, f"{name}-again"), ["grp", "hit", "blocks", "odds"])
+    every = rows_of(again, ["grp", "hit", "blocks", "odds"])
     place, odd = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("odds")).cast("int")
     pair = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
     as_any = F.transform(F.sequence(F.lit(0), F.col("odds") - 1), lambda i: pair(i, place))
@@ -289,15 +289,19 @@ def near_dups(docs: DataFrame, text: str = "text", key: str = "doc_id", percent:
     def banded(shared: KeyBitmap | None = None) -> DataFrame:
         return map_batches(nodes.select("node", "regs"), lambda batch: bands_of(batch, shared), "node binary, bands array<long>").select("node", F.explode("bands").alias("grp"))
 
-    # bands that several nodes share; of bands with the same nodes one is enough
     h = [F.xxhash64("node", F.lit(i)) for i in (1, 2)]
-    shared = banded().select("grp", h[0].alias("x"), h[1].alias("y")).groupBy("grp").agg(F.count(F.lit(1)).alias("size"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.expr("bit_xor(x)").alias("x"), F.expr("bit_xor(y)").alias("y"))
-    shared = written(shared.filter("lo <> hi").groupBy("size", "lo", "hi", "x", "y").agg(F.min("grp").alias("grp")).select("grp"), "near-bands")
-    met = banded(KeyBitmap(shared, "grp")).join(shared, "grp", "left_semi").select("grp", "node", F.lit(1).cast("long").alias("weight"))
-    met = written(met, "near-met")
+    shared = banded().select("grp", h[0].alias("x")).groupBy("grp").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    shared = written(shared.filter("lo <> hi").select("grp"), "near-bands")
+    met = written(banded(KeyBitmap(shared, "grp")).join(shared, "grp", "left_semi"), "near-met")
+    # of bands with the same nodes one is enough
+    alike = met.select("grp", h[0].alias("x"), h[1].alias("y")).groupBy("grp").agg(F.count(F.lit(1)).alias("size"), F.min("x").alias("lo"), F.expr("bit_xor(x)").alias("x"), F.expr("bit_xor(y)").alias("y"))
+    alike = alike.groupBy("size", "lo", "x", "y").agg(F.min("grp").alias("grp")).select("grp")
+    met = written(met.join(alike, "grp", "left_semi").select("grp", "node", F.lit(1).cast("long").alias("weight")), "near-met")
 
     def with_registers(groups: DataFrame, keep: list[str]) -> DataFrame:
-        return groups.join(nodes.select("node", "n", "regs"), "node").select(*keep, "node", "n", "regs")
+        few = written(groups, "near-some")
+        names = written(few.select("node").distinct(), "near-names")
+        return few.join(probable(nodes.select("node", "n", "regs"), F.col("node"), names, "node"), "node").select(*keep, "node", "n", "regs")
 
     likely = group_links(met, with_registers, percent, BLOCK_MEMBERS, False, "near-likely")
     groups = connected_components(likely, "near-groups").withColumnRenamed("comp", "grp")
