@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter, defaultdict
 
 import corpus_pipeline
@@ -34,15 +35,22 @@ def near_kept(rows, percent=85):
     return {i for i in sets if find(i) == i}
 
 
-def cut(texts, width=400):
+def cut(texts, words=51, width=400):
+    """Texts without the bytes of windows of so many words, or of so many bytes, that come again."""
     raw = [t.encode() for t in texts]
+    spans = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0d]+", b)] for b in raw]
+    parts = [[b[x:y] for x, y in s] for b, s in zip(raw, spans, strict=True)]
     seen = Counter(b[i : i + width] for b in raw for i in range(len(b) - width + 1))
+    words_seen = Counter(tuple(p[i : i + words]) for p in parts for i in range(len(p) - words + 1))
     out = []
-    for b in raw:
+    for b, s, p in zip(raw, spans, parts, strict=True):
         mark = bytearray(len(b))
         for i in range(len(b) - width + 1):
             if seen[b[i : i + width]] > 1:
                 mark[i : i + width] = b"\1" * width
+        for i in range(len(p) - words + 1):
+            if words_seen[tuple(p[i : i + words])] > 1:
+                mark[s[i][0] : s[i + words - 1][1]] = b"\1" * (s[i + words - 1][1] - s[i][0])
         out.append(bytes(x for x, m in zip(b, mark, strict=True) if not m).decode("utf-8", "ignore"))
     return out
 
