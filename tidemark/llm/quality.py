@@ -14,10 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import U64, bytes_of, column_of, free_name, in_arrow, mix, others, public_vocabulary, text_slices, texts_of
+from tidemark.llm.common import U64, bytes_of, column_of, free_name, in_arrow, map_batches, mix, others, probable, public_vocabulary, text_slices, texts_of, written
 from tidemark.llm.near_dup import FACTORS, words
 from tidemark.llm.word_bpe import LETTER, char_classes
 
@@ -49,6 +49,8 @@ BANDS = {
     "han": (0.25, 9.0, 0.2, 6.0, 0.95, 2.0),
     "other": (0.1, 16.0, 0.1, 12.0, 0.98, 1.5),
 }
+#: Bits of a digit of the radix selection; a number that isn't negative has 63.
+RADIX = 21
 _kinds: list[np.ndarray] = []
 _scripts: list[np.ndarray] = []
 _models: dict = {}
@@ -156,26 +158,64 @@ def base_failed():
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def fit_bands(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", label_key: str = "doc_id", quality: str = "quality", max_rows: int = 6000, least: int = 50) -> dict[str, tuple[float, ...]]:
-    """Bands of languages from at most ``max_rows`` labelled rows, picked by a hash of the key.
+def order_statistics(rows: DataFrame, shares: tuple[float, ...], least: int) -> dict[str, np.ndarray]:
+    """Exact quantiles of the measures of every group ``v`` of at least ``least`` rows, by share and measure, interpolated as numpy does.
+
+    A radix selection on the bits of the numbers, which are never negative and so order
+    like their bits: three digits, each counted in one pre-aggregated pass over all rows.
+    The driver sees one row for each group and number that is looked for.
+    """
+    spark, names = rows.sparkSession, [c for c in rows.columns if c != "v"]
+
+    def bits(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(batch.column(c).to_numpy().view(np.int64)) for c in names)], names=["v", *names])
+
+    wide = written(map_batches(rows.select("v", *names), bits, f"v string, {', '.join(f'{c} long' for c in names)}"), "quality-bits")
+    sizes = {r.v: r.n for r in wide.groupBy("v").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).collect()}
+    if not sizes:
+        return {}
+    long = wide.select("v", F.posexplode(F.array(*names)).alias("c", "x"))
+    at = {v: np.array(shares) * (n - 1) for v, n in sizes.items()}
+    places = {v: sorted({int(f(p)) for p in at[v] for f in (np.floor, np.ceil)}) for v in sizes}
+    wanted = [(v, c, place, place, 0) for v in places for c in range(len(names)) for place in places[v]]
+    schema, mask = "v string, c int, place long, rank long, head long", (1 << RADIX) - 1
+    for shift in range(2 * RADIX, -1, -RADIX):
+        want = spark.createDataFrame(wanted, schema)
+        near = long.withColumns({"head": F.shiftright("x", shift + RADIX) if shift + RADIX < 63 else F.lit(0).cast("long"), "digit": F.shiftright("x", shift).bitwiseAND(F.lit(mask))})
+        counts = near.join(F.broadcast(want.select("v", "c", "head").distinct()), ["v", "c", "head"]).groupBy("v", "c", "head", "digit").agg(F.count(F.lit(1)).alias("n"))
+        ranked = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("v", "c", "head").orderBy("digit")))
+        found = ranked.join(F.broadcast(want), ["v", "c", "head"]).filter((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n")))
+        wanted = [tuple(r) for r in found.select("v", "c", "place", F.col("rank") - F.col("upto") + F.col("n"), F.shiftleft("head", RADIX) + F.col("digit")).collect()]
+    value = {(v, c, place): x for (v, c, place, _, _), x in zip(wanted, np.array([w[-1] for w in wanted], np.int64).view(np.float64).tolist(), strict=True)}
+    # numpy interpolates between both neighbours of a share's place
+    out = {}
+    for v in sizes:
+        pairs = [[np.array([[value[v, c, int(f(p))] for c in range(len(names))] for f in (np.floor, np.ceil)]), p - np.floor(p)] for p in at[v]]
+        out[v] = np.array([np.quantile(both, part, axis=0) for both, part in pairs])
+    return out
+
+
+def fit_bands(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", label_key: str = "doc_id", quality: str = "quality", least: int = 50) -> dict[str, tuple[float, ...]]:
+    """Bands of languages from all rows with a good label.
 
     A band spans all but a 500th of a language's good texts on either side, and a
     margin; languages with fewer than ``least`` good texts keep their script's band.
     Null labels, keys and languages teach nothing; a key's first label counts; empty tables
-    give no bands.
+    give no bands.  Texts aren't shuffled: a bitmap of the labelled keys picks them where they
+    are, and only their measures go through the exact join.
     """
-    few = labels.select(F.col(f"`{label_key}`").alias("k__"), F.col(f"`{quality}`").alias("q__")).filter("k__ is not null and q__ is not null")
-    few = few.groupBy("k__").agg(F.min("q__").alias("q__")).orderBy(F.xxhash64(F.col("k__").cast("string"), F.lit(3)), "k__").limit(max_rows)
+    good = labels.select(F.col(f"`{label_key}`").alias("k"), F.col(f"`{quality}`").alias("q")).filter("k is not null and q is not null")
+    good = good.groupBy("k").agg(F.min("q").alias("q")).filter(F.col("q") == 1).select("k")
     own = column_of(docs, lang)
-    named = docs.select(F.col(f"`{key}`").alias("k__"), F.col(f"`{text}`").alias("t__"), (F.col(f"`{own}`").cast("string") if own else F.lit(None).cast("string")).alias("v__"))
-    joined = named.join(F.broadcast(few), "k__").filter("v__ is not null")  # at most max_rows rows are sent out
-    rows = measures(joined, "t__", ["v__", "q__"]).filter(~base_failed() & (F.col("q__") == 1)).select("v__", "chars_per_token", "letters_per_token", "byte_fallback", "token_entropy").collect()
+    named = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"), (F.col(f"`{own}`").cast("string") if own else F.lit(None).cast("string")).alias("v"))
+    kind = named.select("k").union(good).schema["k"].dataType  # keys are hashed, so both have one type
+    good = written(good.select(F.col("k").cast(kind).alias("k")), "quality-good")
+    named = named.withColumn("k", F.col("k").cast(kind)).filter("k is not null and v is not null")
+    found = measures(probable(named, F.col("k"), good, "k"), "t", ["k", "v"]).filter(~base_failed() & F.col("chars_per_token").isNotNull())
+    rows = found.join(good, "k", "left_semi").select("v", "chars_per_token", "letters_per_token", "byte_fallback", "token_entropy")
     out = {}
-    for v in sorted({r[0] for r in rows}):
-        a = np.array([tuple(r)[1:] for r in rows if r[0] == v], np.float64)
-        if len(a) >= least:
-            low, high = np.quantile(a, 0.002, axis=0), np.quantile(a, 0.998, axis=0)
-            out[v] = (float(low[0] * 0.96), float(high[0] * 1.05), float(low[1] * 0.96), float(high[1] * 1.05), float(high[2] * 2 + 0.02), float(low[3] * 0.85))
+    for v, (low, high) in sorted(order_statistics(rows, (0.002, 0.998), least).items()):
+        out[v] = (float(low[0] * 0.96), float(high[0] * 1.05), float(low[1] * 0.96), float(high[1] * 1.05), float(high[2] * 2 + 0.02), float(low[3] * 0.85))
     return out
 
 
