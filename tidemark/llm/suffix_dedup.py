@@ -48,6 +48,7 @@ BLOCK = 16_000
 PLACE = 20  # bits
 DIGIT = 8  # bytes
 BAND = 32  # places of a gram in its window that are looked at together
+CONTEXT_BYTES = 2 << 20  # of a batch of contexts
 
 
 def prefixes(units: np.ndarray) -> np.ndarray:
@@ -222,6 +223,44 @@ def remove_spans(data: bytes, begin: np.ndarray, end: np.ndarray) -> bytes:
     return b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
 
 
+def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows of a batch, few of them as Python objects at a time."""
+    for first in range(0, batch.num_rows, 16):
+        yield from batch.slice(first, 16).to_pylist()
+
+
+def contexts(batches: Iterator[pa.RecordBatch], kinds: list[tuple[int, int, type]]) -> Iterator[pa.RecordBatch]:
+    """The units around every gram (``at``) of compressed texts, in batches of about ``CONTEXT_BYTES``, however many grams a text has.
+
+    Contexts overlap, so a batch of texts has many times its own bytes of them.
+    """
+    import zstandard
+
+    types = {"node": pa.binary(), "gram": pa.int64(), "place": pa.int32(), "lo": pa.int32(), "inside": pa.int32(), "blocks": pa.int32(), "context": pa.binary()}
+    out: list[list] = [[] for _ in types]
+    size = 0
+
+    def full() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types.values(), strict=True)], names=list(types))
+
+    for batch in batches:
+        for row in rows_of(batch):
+            data = np.frombuffer(zstandard.decompress(row["z"]), np.uint8)
+            units = [data] + ([words_of(data, np.array([0, len(data)]), lower=False)[0]] if any(m["gram"] & 1 for m in row["at"]) else [])
+            for m in row["at"]:
+                width, part, _ = kinds[m["gram"] & 1]
+                lo = max(0, m["place"] - (width - part))
+                around = units[m["gram"] & 1][lo : m["place"] + width].tobytes()
+                for c, v in zip(out, (row["node"], m["gram"], m["place"], lo, m["place"] - lo, m["blocks"], around), strict=True):
+                    c.append(v)
+                size += len(around)
+                if size >= CONTEXT_BYTES:
+                    yield full()
+                    out, size = [[] for _ in types], 0
+    if out[0]:
+        yield full()
+
+
 def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: int = THRESHOLD, gram: int = GRAM, block: int = BLOCK, words: int = 0, take: str = "all"):
     """What is repeated, by text: windows of ``threshold`` bytes and, above zero, those of ``words`` words.
 
@@ -314,22 +353,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", thr
     texts = packed.join(wanted, F.col("key").eqNullSafe(F.col("first")) & (F.col("own") == F.col("node")))
     texts = written(texts.select("node", "z", "at", "sure", "word_sure"), "suffix-texts")
 
-    def contexts(batch: pa.RecordBatch) -> pa.RecordBatch:
-        import zstandard
-
-        out: list[list] = [[], [], [], [], [], [], []]
-        for row in batch.to_pylist():
-            data = np.frombuffer(zstandard.decompress(row["z"]), np.uint8)
-            units = [data] + ([words_of(data, np.array([0, len(data)]), lower=False)[0]] if any(m["gram"] & 1 for m in row["at"]) else [])
-            for m in row["at"]:
-                width, part, _ = kinds[m["gram"] & 1]
-                lo = max(0, m["place"] - (width - part))
-                for c, v in zip(out, (row["node"], m["gram"], m["place"], lo, m["place"] - lo, m["blocks"], units[m["gram"] & 1][lo : m["place"] + width].tobytes()), strict=True):
-                    c.append(v)
-        types = (pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types, strict=True)], names=["node", "gram", "place", "lo", "inside", "blocks", "context"])
-
-    around = map_batches(texts.filter("at is not null"), contexts, "node binary, gram long, place int, lo int, inside int, blocks int, context binary")
+    around = in_arrow(texts.filter("at is not null").select("node", "z", "at"), lambda batches: contexts(batches, kinds), "node binary, gram long, place int, lo int, inside int, blocks int, context binary")
     around = around.select("node", "gram", "lo", "inside", "blocks", "context", own.alias("own")).withColumn("block", F.pmod(F.xxhash64("own"), F.col("blocks")).cast("int"))
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -404,7 +428,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", thr
         import zstandard
 
         out: list[list] = [[], [], [], [], []]
-        for row in batch.to_pylist():
+        for row in rows_of(batch):
             found, data = row["found"] or [], zstandard.decompress(row["z"])
             flat, word_flat = row["sure"] or [], row["word_sure"] or []
             b = np.array([*flat[::2], *(x["b"] for x in found if not x["w"])], np.int64)
