@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -59,3 +60,12 @@ def test_order_statistics(spark):
     for v in found:
         a = np.array([r[1:] for r in rows if r[0] == v])
         np.testing.assert_allclose(found[v], np.quantile(a, (0.0, 0.002, 0.5, 0.998, 1.0), axis=0), rtol=1e-12)
+
+
+def test_the_pipelines_stage_keeps_what_all_labels_allow(spark, table):
+    folder, _ = table
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    kept = {r.doc_id for r in corpus_pipeline.quality(spark, docs, folder).select("doc_id").collect()}
+    common = {r.doc_id for r in docs.filter("text like '%international%'").select("doc_id").collect()}
+    assert len(common) == 100
+    assert common <= kept
