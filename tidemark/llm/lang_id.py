@@ -3,10 +3,12 @@
 Texts are hashed bags of byte 2-, 3- and 4-grams.  Linear support vector machines
 (squared hinge) tell each pair of families apart, and one-versus-one machines each
 pair of languages inside a family; a level's winner is the class with the most
-won duels, then the larger sum of margins.  Training sees whole texts of a bounded sample
-of labelled rows (``max_rows``, shared evenly by the languages and picked by a hash of
-the key); their bags are made on the executors, so the driver gets rows of one width, in
-half precision.
+won duels, then the larger sum of margins.  A machine's weights are the minimum of its
+loss over all labelled rows, whole texts, each language weighing the same: executors sum
+losses and gradients over all rows, and only rows near a margin are looked at between two
+such passes, since all others add nothing.  A bounded number of rows (``max_rows``) gives
+the weights to start from and the curvature of the steps, neither of which moves the
+minimum.  Bags are made on the executors, in half precision.
 Prediction sees the text only.
 """
 
@@ -21,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import free_name, give_back, in_arrow, others, text_slices, texts_of
+from tidemark.llm.common import U64, free_name, give_back, in_arrow, mix, others, text_slices, texts_of, written
 
 #: Branches of the languages' family tree, by ISO 639-1 code.
 FAMILIES = {
@@ -42,6 +44,12 @@ FAMILIES = {
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
 DIMENSIONS = 4096
 UNKNOWN = "und"
+#: What a row's squared hinge costs, beside the weights' half square.
+COST = 10.0
+#: Rows with a margin below 1 + NEAR stay in sight until the next pass over all rows.
+NEAR = 0.3
+#: Training ends when a gradient over all rows is this small beside the weights, or after so many passes over all rows.
+TOLERANCE, PASSES = 1e-4, 100
 _letter = regex.compile(r"\p{L}")
 
 
@@ -64,7 +72,7 @@ def bags(texts: list[str]) -> np.ndarray:
     return out
 
 
-def svm(x: np.ndarray, positive: np.ndarray, cost: float = 10.0, steps: int = 60) -> np.ndarray:
+def svm(x: np.ndarray, positive: np.ndarray, cost: float = COST, steps: int = 60) -> np.ndarray:
     """Weights and bias of an L2 machine with squared hinge loss, by conjugate-gradient Newton steps; classes weigh the same."""
     # the bias is a weight apart; all in 32 bits, so that no product copies the rows
     y = np.where(positive, 1, -1).astype(np.float32)
@@ -171,9 +179,202 @@ class LanguageModel:
         return out
 
 
+class Machine:
+    """A machine on its way to the least loss: Newton steps over the rows at hand, corrected by the last few gradients."""
+
+    def __init__(self, weights: np.ndarray):
+        self.w = weights.astype(np.float64)
+        self.trial, self.pairs, self.enough = self.w, [], np.inf
+
+    def begin(self, loss: float, gradient: np.ndarray, active: int) -> None:
+        """Take the loss over all rows at the weights as they are."""
+        self.loss, self.gradient, self.active, self.pairs = loss, gradient, active, []
+        self.enough = max(TOLERANCE / 10 * self.size(), 0.03 * float(np.linalg.norm(gradient)))
+        self.open = float(np.linalg.norm(gradient)) > self.enough
+
+    def size(self) -> float:
+        return max(1.0, float(np.linalg.norm(self.w)))
+
+    def aim(self, x: np.ndarray, weight: np.ndarray, whole: bool) -> None:
+        """Set out for the minimum by the curvature of active rows ``x`` with their weights; unless they are the ``whole``, earlier gradients correct it."""
+        if whole:
+            self.pairs = []
+        a = np.c_[x, np.ones(len(x), np.float32)]
+        inner = (a @ a.T).astype(np.float64)
+        inner[np.diag_indices(len(a))] += 1 / weight
+        q, back = self.gradient.copy(), []
+        for s, y in reversed(self.pairs):
+            back.append(float(s @ q) / float(s @ y))
+            q -= back[-1] * y
+        q = q - np.linalg.solve(inner, a @ q) @ a
+        for s, y in self.pairs:
+            q += s * (back.pop() - float(y @ q) / float(s @ y))
+        self.direction, self.t = -q, 1.0
+        self.slope = float(self.gradient @ self.direction)
+        self.trial = self.w + self.direction
+
+    def judge(self, loss: float, gradient: np.ndarray, active: int) -> bool:
+        """Take the trial if it lowers the loss, else come nearer along the line; whether the line is done with."""
+        if loss > self.loss + 1e-4 * self.t * self.slope:
+            ahead = float(gradient @ self.direction)
+            self.t *= float(np.clip(-self.slope / max(ahead - self.slope, 1e-300), 0.1, 0.7))
+            self.open = self.t > 1e-8
+            self.trial = self.w + self.t * self.direction if self.open else self.w
+            return not self.open
+        step, change = self.trial - self.w, gradient - self.gradient
+        if float(step @ change) > 0:
+            self.pairs = [*self.pairs[-7:], (step, change)]
+        self.w, self.loss, self.gradient, self.active = self.trial, loss, gradient, active
+        self.open = float(np.linalg.norm(gradient)) > self.enough
+        return True
+
+
+def rounded(texts: list[str]) -> np.ndarray:
+    """``bags`` in half precision."""
+    return bags(texts).astype(np.float16)
+
+
+def seen(batches: Iterator[pa.RecordBatch], known: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]]:
+    """Number of the language, hash and bag of the rows of a table of texts ``t`` or of bags."""
+    for batch in batches:
+        text = "t" in batch.schema.names
+        for begin, end in text_slices(batch, "t") if text else [(0, batch.num_rows)]:
+            part = batch.slice(begin, end - begin)
+            x = rounded(texts_of(batch, "t", begin, end)) if text else np.frombuffer(b"".join(part.column("bag").to_pylist()), np.float16).reshape(-1, DIMENSIONS)
+            yield np.array([known.index(v) for v in part.column("v").to_pylist()], np.int64), part.column("v"), part.column("h"), x
+
+
+def losses(rows: DataFrame, known: list[str], sign: np.ndarray, weight: np.ndarray, points: np.ndarray, near: bool) -> DataFrame:
+    """Sums of the machines' losses at ``points`` over ``rows`` by task, one row (m >= 0) for each machine: loss, gradient as bytes and number of active rows.
+
+    With ``near``, the rows (m = -1) near a margin, too: their language, hash and bag.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast((sign, weight, points))
+    schema = pa.schema([("m", pa.int32()), ("v", pa.string()), ("h", pa.int64()), ("bag", pa.binary()), ("loss", pa.float64()), ("active", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sign, weight, points = shared.value
+        flat, n = points[:, :-1].astype(np.float32).T, len(points)
+        loss, gradient, active = np.zeros(n), np.zeros_like(points), np.zeros(n, np.int64)
+        for code, v, h, half in seen(batches, known):
+            x, y = half.astype(np.float32), sign[:, code].T
+            some = np.flatnonzero(((y != 0) & (y * (x @ flat + points[:, -1]) < 1 + NEAR)).any(1))
+            if not len(some):
+                continue
+            x, y, c = x[some].astype(np.float64), y[some], weight[:, code[some]].T
+            hinge = np.where(y != 0, np.maximum(0, 1 - y * (x @ points[:, :-1].T + points[:, -1])), 0)
+            pull = c * hinge * y
+            loss += 0.5 * (c * hinge * hinge).sum(0)
+            gradient[:, :-1] -= pull.T @ x
+            gradient[:, -1] -= pull.sum(0)
+            active += (hinge > 0).sum(0)
+            if near:
+                own, k = pa.array(some), len(some)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, -1, np.int32)), v.take(own), h.take(own), pa.array([r.tobytes() for r in half[some]], pa.binary()), pa.nulls(k, pa.float64()), pa.nulls(k, pa.int64())], schema=schema)
+        if active.any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int32)), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()), pa.array([g.tobytes() for g in gradient], pa.binary()), pa.array(loss), pa.array(active)], schema=schema)
+
+    return in_arrow(rows, run, "m int, v string, h long, bag binary, loss double, active long")
+
+
+def summed(parts: DataFrame, points: np.ndarray) -> list[tuple[float, np.ndarray, int]]:
+    """Loss, gradient and number of active rows of each machine from ``losses``; its tasks' sums are added up on the executors, in 64 shares."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, list] = {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                old = found.get(r["m"], (0.0, 0, 0))
+                found[r["m"]] = old[0] + r["loss"], old[1] + np.frombuffer(r["bag"], np.float64), old[2] + r["active"]
+        if found:
+            yield pa.RecordBatch.from_pylist([{"m": m, "loss": a, "bag": b.tobytes(), "active": c} for m, (a, b, c) in found.items()], schema=pa.schema([("m", pa.int32()), ("loss", pa.float64()), ("bag", pa.binary()), ("active", pa.int64())]))
+
+    dealt = parts.filter("m >= 0").select("m", "loss", "bag", "active", (F.spark_partition_id() % 64).alias("share")).repartition("share").drop("share")
+    out = [(0.5 * float(w @ w), w.copy(), 0) for w in points]
+    for r in in_arrow(dealt, run, "m int, loss double, bag binary, active long").toArrow().sort_by([("m", "ascending"), ("loss", "ascending")]).to_pylist():
+        a, b, c = out[r["m"]]
+        out[r["m"]] = a + r["loss"], b + np.frombuffer(r["bag"], np.float64), c + r["active"]
+    return out
+
+
+def active_rows(near: DataFrame, known: list[str], sign: np.ndarray, points: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Languages, places from 0 to 1, and bags of rows that are active in a machine, as many as its ``share`` lets through.
+
+    Places are hashes of the key and the row's number in its task, so that a repeated key's rows part.
+    """
+    shared = near.sparkSession.sparkContext.broadcast((sign, points, share))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (sign, points, share), done = shared.value, 0
+        for code, v, h, half in seen(batches, known):
+            at = (mix(h.to_numpy().view(U64) + np.arange(done, done + len(code), dtype=U64)) >> U64(11)) / 2.0**53
+            done += len(code)
+            y = sign[:, code].T
+            hit = (y != 0) & (y * (half.astype(np.float64) @ points[:, :-1].T + points[:, -1]) < 1) & (at[:, None] < share)
+            own = np.flatnonzero(hit.any(1))
+            yield pa.RecordBatch.from_arrays([v.take(pa.array(own)), pa.array(at[own]), pa.array([r.tobytes() for r in half[own]], pa.binary())], names=["v", "at", "bag"])
+
+    found = in_arrow(near, run, "v string, at double, bag binary").toArrow().sort_by([("at", "ascending"), ("v", "ascending"), ("bag", "ascending")])
+    x = np.empty((found.num_rows, DIMENSIONS), np.float16)
+    for i, row in enumerate(found.column("bag")):
+        x[i] = np.frombuffer(row.as_buffer(), np.float16)
+    return np.array([known.index(v) for v in found.column("v").to_pylist()], np.int64), found.column("at").to_numpy(), x
+
+
+def refine(rows: DataFrame, model: LanguageModel, counts: dict[str, int], max_rows: int, tolerance: float) -> None:
+    """Bring the machines of ``model`` to the least loss over all ``rows`` (v, h, t).
+
+    A pass over all rows gives the gradients and a table of the rows near a margin; over
+    it the machines descend until their gradients are small, and the next pass tells
+    whether they are so over all rows.
+    """
+    known = model.known
+    duels = [(d, k, (lambda v: v) if d is not model.families else family_of) for d in (model.families, *model.inside.values()) for k in range(len(d.pairs))]
+    if not duels:
+        return
+    sign = np.array([[(of(v) == d.names[d.pairs[k][0]]) * 1.0 - (of(v) == d.names[d.pairs[k][1]]) for v in known] for d, k, of in duels])
+    n = np.array([counts[v] for v in known], np.float64)
+    total = ((sign != 0) * n).sum(1, keepdims=True)
+    sides = np.where(sign > 0, (sign > 0).sum(1, keepdims=True), (sign < 0).sum(1, keepdims=True))
+    weight = np.where(sign != 0, COST * total * 0.5 / (np.maximum(sides, 1) * n), 0)
+    machines = [Machine(d.weights[k]) for d, k, _ in duels]
+    for _ in range(PASSES):
+        before = [m.w for m in machines]
+        points = np.array(before)
+        found = written(losses(rows, known, sign, weight, points, True), "language-near")
+        for m, (loss, gradient, active) in zip(machines, summed(found, points), strict=True):
+            m.begin(loss, gradient, active)
+        if all(np.linalg.norm(m.gradient) <= tolerance * m.size() for m in machines):
+            break
+        near = found.filter("m = -1").select("v", "h", "bag")
+        while any(m.open for m in machines):
+            part = min(1.0, max_rows / max(1, sum(m.active for m in machines if m.open)))
+            share = np.array([part if m.open else 0.0 for m in machines])
+            code, at, x = active_rows(near, known, sign, np.array([m.w for m in machines]), share)
+            for i, m in enumerate(machines):
+                if m.open:
+                    y, mine = sign[i, code], np.flatnonzero((sign[i, code] != 0) & (at < share[i]))
+                    own = x[mine].astype(np.float32)
+                    active = y[mine] * (own @ m.w[:-1].astype(np.float32) + m.w[-1]) < 1
+                    m.aim(own[active], weight[i, code[mine[active]]] / part, part == 1)
+            del x
+            trying = {i for i, m in enumerate(machines) if m.open}
+            while trying:
+                points = np.array([m.trial if i in trying else m.w for i, m in enumerate(machines)])
+                values = summed(losses(near, known, sign, weight, points, False), points)
+                trying = {i for i in trying if not machines[i].judge(*values[i])}
+        if all(m.w is w for m, w in zip(machines, before, strict=True)):
+            break  # no step lowers a loss any more
+    for (d, k, _), m in zip(duels, machines, strict=True):
+        d.weights[k] = m.w
+    give_back()
+
+
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", max_rows: int = 4000) -> LanguageModel:
-    """Learn from rows with a label; the bags of at most ``max_rows`` of them reach the driver, as many of each language as of another.
+    """Learn from all rows with a label, each language weighing the same; the bags of about ``max_rows`` of them reach the driver at once.
 
+    These, as many of each language as of another, only give the weights to start from and
+    the steps' curvature; the last passes are over all rows.
     Null texts, texts without a letter and null languages teach nothing; an empty table
     gives a model that knows no language.
     """
@@ -202,7 +403,17 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
         x[i] = np.frombuffer(column[i].as_buffer(), np.float16)
     del column
     give_back()
-    return LanguageModel(x.astype(np.float32), langs)
+    model = LanguageModel(x.astype(np.float32), langs)
+    del x
+    # from few rows to all of them, four times as many at a step: each step starts where few rows are active
+    level = 1
+    while sum(counts.values()) > 4 * level * max_rows:
+        level *= 4
+    while level:
+        own = rows if level == 1 else rows.filter(F.pmod(F.shiftright("h", 20), F.lit(1 << 20)) < (1 << 20) // level)
+        refine(own, model, counts, max_rows, TOLERANCE if level == 1 else 100 * TOLERANCE)
+        level //= 4
+    return model
 
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: list[str] | None = None, out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
