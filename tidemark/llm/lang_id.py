@@ -50,6 +50,8 @@ COST = 10.0
 NEAR = 0.3
 #: Training ends when a gradient over all rows is this small beside the weights, or after so many passes over all rows.
 TOLERANCE, PASSES = 1e-4, 100
+#: Rows in single or double precision at once on the driver.
+BLOCK = 256
 _letter = regex.compile(r"\p{L}")
 
 
@@ -63,11 +65,11 @@ def bags(texts: list[str]) -> np.ndarray:
     out = np.zeros((len(texts), DIMENSIONS), np.float32)
     for row, text in zip(out, texts, strict=True):
         data = np.frombuffer(f" {text.lower()} ".encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint32)
-        code = data
+        code, codes = data, []
         for n in range(2, 5):
             code = code[:-1] * np.uint32(0x01000193) + data[n - 1 :]
-            row += np.bincount(((code + np.uint32(n)) * np.uint32(0x9E3779B1)) >> np.uint32(20), minlength=DIMENSIONS)
-        np.sqrt(row, out=row)
+            codes.append(code + np.uint32(n))
+        np.sqrt(np.bincount((np.concatenate(codes) * np.uint32(0x9E3779B1)) >> np.uint32(20), minlength=DIMENSIONS), out=row, casting="same_kind")
         row /= max(float(np.linalg.norm(row)), 1e-9)
     return out
 
@@ -125,7 +127,7 @@ class Duels:
         machines = []
         for a, b in self.pairs:
             rows = (labels == names[a]) | (labels == names[b])
-            machines.append(svm(x[rows], labels[rows] == names[a]))
+            machines.append(svm(x if rows.all() else x[rows], labels[rows] == names[a]))
         self.weights = np.array(machines, np.float32).reshape(len(self.pairs), x.shape[1] + 1)
 
     def winners(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -179,34 +181,73 @@ class LanguageModel:
         return out
 
 
+def solved(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``x`` with ``a @ x = b`` by Cholesky's factors, which take the place of the lower half of the positive definite ``a``: no copy of it is made."""
+    n, x = len(a), b.astype(np.float64)
+    parts = [slice(i, min(i + BLOCK, n)) for i in range(0, n, BLOCK)]
+    for p in parts:
+        a[p, p] = np.linalg.cholesky(a[p, p])
+        x[p] = np.linalg.solve(a[p, p], x[p])
+        if p.stop < n:
+            a[p.stop :, p] = np.linalg.solve(a[p, p], a[p.stop :, p].T).T
+            x[p.stop :] -= a[p.stop :, p] @ x[p]
+        for r in parts:
+            if r.start >= p.stop:
+                a[r, p.stop : r.stop] -= a[r, p] @ a[p.stop : r.stop, p].T
+    for p in reversed(parts):
+        x[p] = np.linalg.solve(a[p, p].T, x[p] - a[p.stop :, p].T @ x[p.stop :])
+    return x
+
+
+def scores(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Margins of rows in half precision, some rows at a time."""
+    return np.concatenate([x[i : i + BLOCK].astype(np.float64) @ w[:-1] + w[-1] for i in range(0, max(1, len(x)), BLOCK)])
+
+
 class Machine:
     """A machine on its way to the least loss: Newton steps over the rows at hand, corrected by the last few gradients."""
 
     def __init__(self, weights: np.ndarray):
         self.w = weights.astype(np.float64)
-        self.trial, self.pairs, self.enough = self.w, [], np.inf
+        self.start, self.trial, self.pairs, self.enough = self.w, self.w, [], np.inf
 
-    def begin(self, loss: float, gradient: np.ndarray, active: int) -> None:
-        """Take the loss over all rows at the weights as they are."""
+    def begin(self, loss: float, gradient: np.ndarray, active: int, enough: float) -> None:
+        """Take the loss over all rows at the weights as they are; steps end at a gradient of ``enough``."""
         self.loss, self.gradient, self.active, self.pairs = loss, gradient, active, []
-        self.enough = max(TOLERANCE / 10 * self.size(), 0.03 * float(np.linalg.norm(gradient)))
+        self.start, self.enough = self.w, enough
         self.open = float(np.linalg.norm(gradient)) > self.enough
 
     def size(self) -> float:
         return max(1.0, float(np.linalg.norm(self.w)))
 
+    def reach(self) -> float:
+        """No row's margin may have fallen by more since ``begin``: bags have no item below zero and (rounded) no norm above 1.001."""
+        change = self.w - self.start
+        up, down = (1.001 * float(np.linalg.norm(np.maximum(0, sign * change[:-1]))) for sign in (1, -1))
+        return max(down - change[-1], up + change[-1])
+
     def aim(self, x: np.ndarray, weight: np.ndarray, whole: bool) -> None:
-        """Set out for the minimum by the curvature of active rows ``x`` with their weights; unless they are the ``whole``, earlier gradients correct it."""
+        """Set out for the minimum by the curvature of active rows ``x`` with their weights; unless they are the ``whole``, earlier gradients correct it.
+
+        Rows stay in half precision but for a few at a time; the only large array beside them is one number for each two rows.
+        """
         if whole:
             self.pairs = []
-        a = np.c_[x, np.ones(len(x), np.float32)]
-        inner = (a @ a.T).astype(np.float64)
-        inner[np.diag_indices(len(a))] += 1 / weight
         q, back = self.gradient.copy(), []
         for s, y in reversed(self.pairs):
             back.append(float(s @ q) / float(s @ y))
             q -= back[-1] * y
-        q = q - np.linalg.solve(inner, a @ q) @ a
+        inner, starts = np.empty((len(x), len(x))), range(0, len(x), BLOCK)
+        for i in starts:
+            a = x[i : i + BLOCK].astype(np.float32)
+            for j in range(0, i + 1, BLOCK):
+                inner[i : i + BLOCK, j : j + BLOCK] = a @ x[j : j + BLOCK].astype(np.float32).T
+        inner += 1
+        inner[np.diag_indices(len(x))] += 1 / weight
+        pull = solved(inner, scores(x, q))
+        for i in starts:
+            q[:-1] -= pull[i : i + BLOCK] @ x[i : i + BLOCK].astype(np.float64)
+        q[-1] -= pull.sum()
         for s, y in self.pairs:
             q += s * (back.pop() - float(y @ q) / float(s @ y))
         self.direction, self.t = -q, 1.0
@@ -230,8 +271,15 @@ class Machine:
 
 
 def rounded(texts: list[str]) -> np.ndarray:
-    """``bags`` in half precision."""
-    return bags(texts).astype(np.float16)
+    """``bags`` with the values of half precision, by their bits: about ten times as fast as there and back."""
+    x = bags(texts)
+    bits = x.view(np.uint32)
+    low = (x > 0) & (x < 2.0**-14)  # a half's last bit is another one there
+    exact = x[low].astype(np.float16)
+    bits += np.uint32(0xFFF) + ((bits >> np.uint32(13)) & np.uint32(1))
+    bits &= np.uint32(0xFFFFE000)
+    x[low] = exact
+    return x
 
 
 def seen(batches: Iterator[pa.RecordBatch], known: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]]:
@@ -240,7 +288,7 @@ def seen(batches: Iterator[pa.RecordBatch], known: list[str]) -> Iterator[tuple[
         text = "t" in batch.schema.names
         for begin, end in text_slices(batch, "t") if text else [(0, batch.num_rows)]:
             part = batch.slice(begin, end - begin)
-            x = rounded(texts_of(batch, "t", begin, end)) if text else np.frombuffer(b"".join(part.column("bag").to_pylist()), np.float16).reshape(-1, DIMENSIONS)
+            x = rounded(texts_of(batch, "t", begin, end)) if text else np.frombuffer(b"".join(part.column("bag").to_pylist()), np.float16).reshape(-1, DIMENSIONS).astype(np.float32)
             yield np.array([known.index(v) for v in part.column("v").to_pylist()], np.int64), part.column("v"), part.column("h"), x
 
 
@@ -256,8 +304,8 @@ def losses(rows: DataFrame, known: list[str], sign: np.ndarray, weight: np.ndarr
         sign, weight, points = shared.value
         flat, n = points[:, :-1].astype(np.float32).T, len(points)
         loss, gradient, active = np.zeros(n), np.zeros_like(points), np.zeros(n, np.int64)
-        for code, v, h, half in seen(batches, known):
-            x, y = half.astype(np.float32), sign[:, code].T
+        for code, v, h, all_x in seen(batches, known):
+            x, y = all_x, sign[:, code].T
             some = np.flatnonzero(((y != 0) & (y * (x @ flat + points[:, -1]) < 1 + NEAR)).any(1))
             if not len(some):
                 continue
@@ -270,7 +318,7 @@ def losses(rows: DataFrame, known: list[str], sign: np.ndarray, weight: np.ndarr
             active += (hinge > 0).sum(0)
             if near:
                 own, k = pa.array(some), len(some)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, -1, np.int32)), v.take(own), h.take(own), pa.array([r.tobytes() for r in half[some]], pa.binary()), pa.nulls(k, pa.float64()), pa.nulls(k, pa.int64())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, -1, np.int32)), v.take(own), h.take(own), pa.array([r.tobytes() for r in all_x[some].astype(np.float16)], pa.binary()), pa.nulls(k, pa.float64()), pa.nulls(k, pa.int64())], schema=schema)
         if active.any():
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int32)), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()), pa.array([g.tobytes() for g in gradient], pa.binary()), pa.array(loss), pa.array(active)], schema=schema)
 
@@ -306,19 +354,20 @@ def active_rows(near: DataFrame, known: list[str], sign: np.ndarray, points: np.
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (sign, points, share), done = shared.value, 0
-        for code, v, h, half in seen(batches, known):
+        for code, v, h, x in seen(batches, known):
             at = (mix(h.to_numpy().view(U64) + np.arange(done, done + len(code), dtype=U64)) >> U64(11)) / 2.0**53
             done += len(code)
             y = sign[:, code].T
-            hit = (y != 0) & (y * (half.astype(np.float64) @ points[:, :-1].T + points[:, -1]) < 1) & (at[:, None] < share)
+            hit = (y != 0) & (y * (x.astype(np.float64) @ points[:, :-1].T + points[:, -1]) < 1) & (at[:, None] < share)
             own = np.flatnonzero(hit.any(1))
-            yield pa.RecordBatch.from_arrays([v.take(pa.array(own)), pa.array(at[own]), pa.array([r.tobytes() for r in half[own]], pa.binary())], names=["v", "at", "bag"])
+            yield pa.RecordBatch.from_arrays([v.take(pa.array(own)), pa.array(at[own]), pa.array([r.tobytes() for r in x[own].astype(np.float16)], pa.binary())], names=["v", "at", "bag"])
 
-    found = in_arrow(near, run, "v string, at double, bag binary").toArrow().sort_by([("at", "ascending"), ("v", "ascending"), ("bag", "ascending")])
-    x = np.empty((found.num_rows, DIMENSIONS), np.float16)
-    for i, row in enumerate(found.column("bag")):
-        x[i] = np.frombuffer(row.as_buffer(), np.float16)
-    return np.array([known.index(v) for v in found.column("v").to_pylist()], np.int64), found.column("at").to_numpy(), x
+    found = in_arrow(near, run, "v string, at double, bag binary").toArrow()
+    order = pa.compute.sort_indices(found, [("at", "ascending"), ("v", "ascending"), ("bag", "ascending")])
+    x, column = np.empty((found.num_rows, DIMENSIONS), np.float16), found.column("bag")
+    for i, k in enumerate(order.to_pylist()):
+        x[i] = np.frombuffer(column[k].as_buffer(), np.float16)
+    return np.array([known.index(v) for v in found.column("v").take(order).to_pylist()], np.int64), found.column("at").take(order).to_numpy(), x
 
 
 def refine(rows: DataFrame, model: LanguageModel, counts: dict[str, int], max_rows: int, tolerance: float) -> None:
@@ -326,7 +375,8 @@ def refine(rows: DataFrame, model: LanguageModel, counts: dict[str, int], max_ro
 
     A pass over all rows gives the gradients and a table of the rows near a margin; over
     it the machines descend until their gradients are small, and the next pass tells
-    whether they are so over all rows.
+    whether they are so over all rows.  No pass is needed for that where weights moved so
+    little that no row outside the table can have become active: its sums are those of all rows.
     """
     known = model.known
     duels = [(d, k, (lambda v: v) if d is not model.families else family_of) for d in (model.families, *model.inside.values()) for k in range(len(d.pairs))]
@@ -338,12 +388,13 @@ def refine(rows: DataFrame, model: LanguageModel, counts: dict[str, int], max_ro
     sides = np.where(sign > 0, (sign > 0).sum(1, keepdims=True), (sign < 0).sum(1, keepdims=True))
     weight = np.where(sign != 0, COST * total * 0.5 / (np.maximum(sides, 1) * n), 0)
     machines = [Machine(d.weights[k]) for d, k, _ in duels]
-    for _ in range(PASSES):
+    for turn in range(PASSES):
         before = [m.w for m in machines]
         points = np.array(before)
         found = written(losses(rows, known, sign, weight, points, True), "language-near")
         for m, (loss, gradient, active) in zip(machines, summed(found, points), strict=True):
-            m.begin(loss, gradient, active)
+            # the first table lacks rows that come near later, so it isn't worth small steps
+            m.begin(loss, gradient, active, max(tolerance / 10 * m.size(), 0.0 if turn else 0.03 * float(np.linalg.norm(gradient))))
         if all(np.linalg.norm(m.gradient) <= tolerance * m.size() for m in machines):
             break
         near = found.filter("m = -1").select("v", "h", "bag")
@@ -353,11 +404,11 @@ def refine(rows: DataFrame, model: LanguageModel, counts: dict[str, int], max_ro
             code, at, x = active_rows(near, known, sign, np.array([m.w for m in machines]), share)
             for i, m in enumerate(machines):
                 if m.open:
-                    y, mine = sign[i, code], np.flatnonzero((sign[i, code] != 0) & (at < share[i]))
-                    own = x[mine].astype(np.float32)
-                    active = y[mine] * (own @ m.w[:-1].astype(np.float32) + m.w[-1]) < 1
-                    m.aim(own[active], weight[i, code[mine[active]]] / part, part == 1)
+                    y = sign[i, code]
+                    mine = np.flatnonzero((y != 0) & (at < share[i]) & (y * scores(x, m.w) < 1))
+                    m.aim(x[mine], weight[i, code[mine]] / part, part == 1)
             del x
+            give_back()
             trying = {i for i, m in enumerate(machines) if m.open}
             while trying:
                 points = np.array([m.trial if i in trying else m.w for i, m in enumerate(machines)])
@@ -365,6 +416,8 @@ def refine(rows: DataFrame, model: LanguageModel, counts: dict[str, int], max_ro
                 trying = {i for i in trying if not machines[i].judge(*values[i])}
         if all(m.w is w for m, w in zip(machines, before, strict=True)):
             break  # no step lowers a loss any more
+        if all(m.reach() < 0.999 * NEAR and np.linalg.norm(m.gradient) <= tolerance * m.size() for m in machines):
+            break
     for (d, k, _), m in zip(duels, machines, strict=True):
         d.weights[k] = m.w
     give_back()
@@ -397,14 +450,15 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
                 yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary())], names=["v", "h", "bag"])
 
     found = in_arrow(exact.select("v", "h", "t"), bagged, "v string, h long, bag binary").toArrow().sort_by([("v", "ascending"), ("h", "ascending"), ("bag", "ascending")])
-    langs, column, x = found.column("v").to_pylist(), found.column("bag"), np.empty((found.num_rows, DIMENSIONS), np.float16)
+    langs, column, x = found.column("v").to_pylist(), found.column("bag"), np.empty((found.num_rows, DIMENSIONS), np.float32)
     del found
     for i in range(len(x)):
         x[i] = np.frombuffer(column[i].as_buffer(), np.float16)
     del column
     give_back()
-    model = LanguageModel(x.astype(np.float32), langs)
+    model = LanguageModel(x, langs)
     del x
+    give_back()
     # from few rows to all of them, four times as many at a step: each step starts where few rows are active
     level = 1
     while sum(counts.values()) > 4 * level * max_rows:
