@@ -73,3 +73,15 @@ def test_few_passes_over_all_rows(spark, sf_dir, monkeypatch):
                     c[langs == v] = lang_id.COST * (y != 0).sum() * 0.5 / (len(own) * (langs == v).sum())
             pull = c * np.maximum(0, 1 - y * (x @ w[:-1] + w[-1])) * y
             assert np.linalg.norm(w - np.append(pull @ x, pull.sum())) < 1e-3 * max(1, np.linalg.norm(w))
+
+
+def test_first_machines_copy_few_rows():
+    """The pipeline's driver has little left beside Spark: machines that all rows take part in don't copy them."""
+    rng = np.random.default_rng(10)
+    x = np.concatenate([_units(rng, 400) for _ in range(4)]).astype(np.float32)
+    x[np.arange(1600), np.arange(1600) // 400] += 1
+    tracemalloc.start()
+    model = lang_id.LanguageModel(x, np.repeat(["de", "en", "es", "fr"], 400).tolist())
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(model.known) == 4 and most < 0.75 * x.nbytes
